@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreloom.llm.decontaminate import benchmark_hits
+from loreloom.llm.sharding import shard_documents
 from loreloom.llm.url_filter import Rule, judge_urls
 
 #: Fixed rules of the URL query.
@@ -27,6 +28,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shard_documents(table(spark, sf_dir, "documents"), 24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
