@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loreloom.llm import bpe
 from loreloom.llm.decontaminate import benchmark_hits
 from loreloom.llm.minhash import near_duplicates
+from loreloom.llm.quality import resample
 from loreloom.llm.sharding import shard_documents
 from loreloom.llm.url_filter import Rule, judge_urls
 
@@ -31,13 +32,17 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return bpe.digests(table(spark, sf_dir, "documents"), path)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

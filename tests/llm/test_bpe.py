@@ -36,8 +36,10 @@ def test_odd_texts(spark, library):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, ids array<int>")
     got = bpe.encode(df, PATH).collect()
     assert sorted(((r["doc_id"], r["ids"]) for r in got), key=str) == sorted(((d, library.encode_ordinary(t or "")) for d, t, _ in rows), key=str)
-    assert sorted(map(tuple, bpe.digests(bpe.encode(df, PATH), PATH).collect()), key=str) == sorted((row(library, d, t) for d, t, _ in rows), key=str)
+    assert sorted(map(tuple, bpe.digests(df, PATH).collect()), key=str) == sorted((row(library, d, t) for d, t, _ in rows), key=str)
     assert bpe.encode(df.limit(0), PATH).count() == 0
+    plain = bpe.encode(df, PATH).select(bpe.decode("ids", PATH).alias("raw")).collect()
+    assert sorted(bytes(r["raw"]) for r in plain) == sorted((t or "").encode() for _, t, _ in rows)
 
 
 def test_memory_of_words_is_bounded(spark, library):
