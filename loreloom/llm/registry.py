@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loreloom.llm import bpe
 from loreloom.llm.decontaminate import benchmark_hits
+from loreloom.llm.lm_score import score_documents
 from loreloom.llm.minhash import near_duplicates
 from loreloom.llm.quality import resample
 from loreloom.llm.sharding import shard_documents
@@ -45,6 +46,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), path)
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_documents(table(spark, sf_dir, "documents"), 24)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
