@@ -9,7 +9,7 @@ with the corpus is broadcast:
     texts -> words of the pattern, distinct in the partition   (Arrow, vectorised)
           -> fold over every new distinct word                  (higher-order functions)
           -> each text's ids from its words' ids                (Arrow, vectorised)
-          -> decoded bytes, by concatenating binary pieces      (higher-order functions)
+          -> decoded bytes, by concatenating binary pieces      (Arrow, or higher-order functions)
 
 A row between the first two steps carries the words that its slice of texts is first in the
 partition to use; the third step runs in the same task over the same rows in the same
@@ -128,7 +128,7 @@ def fold_words(words: str, path: str) -> Column:
     merged = f"cast(shiftright(m, {top}) as int)"
     at_pair = f"{rank(merged, token('get(x, j + 2)'))} | (m & {((1 << top) - 1) ^ low}L) | shiftright(m, {top})"
     before = f"{rank(token('v'), merged)} | (v & {(1 << top) - 1}L)"
-    spliced = f"filter(transform(x, (v, i) -> if(i > j + 1 or i < j - 1, v, if(i = j, {at_pair}, if(i < j, {before}, cast(null as bigint))))), v -> v is not null)"
+    spliced = f"filter(transform(x, (v, i) -> if(abs(i - j) > 1, v, if(i = j, {at_pair}, if(i < j, {before}, cast(null as bigint))))), v -> v is not null)"
     step = f"transform(array(array_min(x)), m -> if(m >= {LIMIT << top}L, x, transform(array(cast(array_position(x, m) as int) - 1), j -> {spliced})[0]))[0]"
     start = f"transform(array(transform(w, b -> get(t.single, b))), s -> transform(s, (a, i) -> {rank('a', 'get(s, i + 1)')} | shiftleft(cast(i as bigint), 17) | a))[0]"
     fold = f"transform({words}, w -> aggregate(slice(w, 2, size(w)), {start}, (x, i) -> {step}, x -> transform(x, v -> {token('v')})))"
@@ -189,8 +189,13 @@ def _gather(flat: np.ndarray, off: np.ndarray, at: np.ndarray) -> tuple[np.ndarr
     return flat[np.repeat(off[at] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
 
 
-def _assemble(key: str):
+def _assemble(key: str, tokens):
+    """tokens: a broadcast list of each id's bytes where decoded texts are wanted too."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if tokens is not None:
+            binary = np.frombuffer(b"".join(tokens.value), np.uint8)
+            begin = np.concatenate([[0], np.cumsum([len(t) for t in tokens.value])])
         flat, off = np.zeros(0, np.int32), np.zeros(1, np.int64)
         for batch in batches:
             for row in range(batch.num_rows):
@@ -207,18 +212,24 @@ def _assemble(key: str):
                 ids, ends = _gather(flat, off, at)
                 rows = np.concatenate([[0], np.cumsum(batch.column("n")[row].values.to_numpy(zero_copy_only=False))])
                 bounds = np.concatenate([[0], ends])[rows]
-                yield pa.RecordBatch.from_arrays([batch.column("keys")[row].values, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))], names=[key, "ids"])
+                out = {key: batch.column("keys")[row].values, "ids": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))}
+                if tokens is not None:
+                    raw, ends = _gather(binary, begin, ids)
+                    at = np.concatenate([[0], ends])[bounds].astype(np.int32)
+                    out["decoded"] = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([*out.values()], names=[*out])
 
     return run
 
 
-def encode(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", remember: int = REMEMBER, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """key and ids (array<int>) of every row."""
+def encode(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", decoded: bool = False, remember: int = REMEMBER, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """key and ids (array<int>) of every row; with `decoded` also the bytes that the ids stand for."""
     kind = dict(docs.dtypes)[key]
     table = docs.sparkSession.sparkContext.broadcast(pair_table(path))
     sliced = docs.select(key, text).mapInArrow(_words_of(key, text, table, remember, slice_bytes), f"keys array<{kind}>, n array<int>, at binary, anew boolean, words array<array<int>>, done array<array<int>>")
     folded = sliced.select("keys", "n", "at", "anew", fold_words("words", path).alias("words"), "done")
-    return folded.mapInArrow(_assemble(key), f"`{key}` {kind}, ids array<int>")
+    tokens = docs.sparkSession.sparkContext.broadcast(load_ranks(path)) if decoded else None
+    return folded.mapInArrow(_assemble(key, tokens), f"`{key}` {kind}, ids array<int>" + ", decoded binary" * decoded)
 
 
 def decode(ids: str, path: str) -> Column:
@@ -227,6 +238,7 @@ def decode(ids: str, path: str) -> Column:
     return F.expr(f"unhex(array_join(transform(array(split('{names}', ',')), t -> transform({ids}, i -> get(t, i)))[0], ''))")
 
 
-def digests(encoded: DataFrame, path: str, *, key: str = "doc_id") -> DataFrame:
+def digests(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens and SHA-256 of the ids as text and of the decoded bytes."""
-    return encoded.select(key, F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2(decode("ids", path), 256).alias("decoded_sha256"))
+    encoded = encode(docs, path, key=key, text=text, decoded=True)
+    return encoded.select(key, F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
