@@ -12,6 +12,7 @@ from loreloom.llm import bpe
 from loreloom.llm.decontaminate import benchmark_hits
 from loreloom.llm.lm_score import score_documents
 from loreloom.llm.minhash import near_duplicates
+from loreloom.llm.pq import near_duplicate_vectors
 from loreloom.llm.quality import resample
 from loreloom.llm.sharding import shard_documents
 from loreloom.llm.url_filter import Rule, judge_urls
@@ -24,6 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
