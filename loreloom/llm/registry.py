@@ -12,15 +12,21 @@ from loreloom.llm import bpe
 from loreloom.llm.decontaminate import benchmark_hits
 from loreloom.llm.lm_score import score_documents
 from loreloom.llm.minhash import near_duplicates
+from loreloom.llm.packing import pack_documents
 from loreloom.llm.pq import near_duplicate_vectors
 from loreloom.llm.quality import resample
 from loreloom.llm.sharding import shard_documents
+from loreloom.llm.token_files import document_token_counts
 from loreloom.llm.url_filter import Rule, judge_urls
 
 #: Fixed rules of the URL query.
 URL_RULES = [Rule("com", "/en/", "block"), Rule("example.com", "/en/7", "allow"), Rule("net", "/de/", "allow"), Rule("example.net", "/de/8", "block"), Rule("org", "/es/", "block")]
 
 
+#: The id that the vocabulary leaves free.
+END_OF_DOCUMENT = 50256
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -55,6 +61,16 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return document_token_counts(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, END_OF_DOCUMENT)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return pack_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, pad=END_OF_DOCUMENT)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_documents(table(spark, sf_dir, "documents"), 24)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
