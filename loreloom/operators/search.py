@@ -46,7 +46,11 @@ def bm25(docs: DataFrame, terms: list[str], k: int, key: str = "doc_id", text: s
     if not terms:
         return docs.select(F.col(key).alias("doc_id"), F.lit(0.0).alias("score")).limit(0)
     tokens = tokens_of(docs, key, text)
-    counts = [F.size(F.filter("tokens", lambda t, w=w: t == w)).cast("bigint") for w in terms]
+
+    def times(term: str) -> Column:
+        return F.size(F.filter("tokens", lambda x: x == term)).cast("bigint")
+
+    counts = [times(w) for w in terms]
     facts = tokens.select("doc_id", F.size("tokens").cast("double").alias("len"), *(c.alias(f"tf{i}") for i, c in enumerate(counts)))
     totals = facts.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *(F.sum((F.col(f"tf{i}") > 0).cast("double")).alias(f"df{i}") for i in range(len(terms))))
     hit = facts.where(" or ".join(f"tf{i} > 0" for i in range(len(terms)))).join(F.broadcast(totals))
