@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreloom.functions import text as tx
-from loreloom.operators import dialog, graph, pages, positions, raster, search, sync
+from loreloom.operators import catalog, dialog, graph, journal, pages, parsers, positions, raster, search, sync
 from loreloom.streaming import events as ev
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -344,6 +344,59 @@ def _(s, d):
     return ev.sessions(ev.timed(t(s, d, "events")), "6 hours")
 
 
+@query("events_sliding", "with w as (select *, unnest([time_bucket(interval 12 hours, ts, timestamp '1970-01-01'), time_bucket(interval 12 hours, ts, timestamp '1970-01-01') - interval 12 hours]) as window_start from events) select window_start, event_type, count(*) as n, round(sum(value), 4) as total from w group by all")
+def _(s, d):
+    s.conf.set("spark.sql.session.timeZone", "UTC")
+    return ev.windowed(ev.timed(t(s, d, "events")), "1 day", "12 hours")
+
+
+@query("directory_index", """select regexp_replace(p, '/?[^/]*$', '') as dir, count(*) as pages, string_agg('* [' || title || '](' || split_part(p, '/', 2) || '.md)', chr(10) order by title, split_part(p, '/', 2)) as lines
+from (select source || '/' || doc_id as p, coalesce(left(trim(text), 20), '') as title from documents) group by 1""")
+def _(s, d):
+    docs = t(s, d, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("p"), F.coalesce(F.left(F.btrim("text", F.lit(" ")), F.lit(20)), F.lit("")).alias("title"))
+    return journal.directory_index(docs, "p", "title")
+
+
+@query("change_log", """select day, '## ' || day || chr(10) || string_agg('* **' || event_type || '**: ' || n || ' from ' || first, chr(10) order by event_type) as section
+from (select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n, min(event_id) as first from events group by all) group by day""")
+def _(s, d):
+    events = t(s, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type", "event_id")
+    return journal.change_log(events, "day", "event_type", "event_id")
+
+
+@query("fetch_batches", "select source, doc_id, cast((row_number() over (partition by source order by doc_id) - 1) // 50 as int) as batch from documents")
+def _(s, d):
+    return journal.batches(t(s, d, "documents"), "source", "doc_id")
+
+
+@query("spread_pick", "with n as (select user_id, event_id, row_number() over (partition by user_id order by event_id) - 1 as i, count(*) over (partition by user_id) as c from events) select user_id, event_id from n where c <= 4 or i in (c // 8, 3 * c // 8, 5 * c // 8, 7 * c // 8)")
+def _(s, d):
+    return journal.spread_pick(t(s, d, "events"), "user_id", "event_id", 4)
+
+
+@query("category_aliases", "select source, lang || source as alias from (select distinct source, lang from documents)")
+def _(s, d):
+    named = t(s, d, "documents").select("source", "lang").distinct()
+    return named.select("source", F.explode(tx.compound_aliases(F.concat("source", F.lit("/"), "lang"))).alias("alias"))
+
+
+@query("title_mentions")
+def _(s, d):
+    titles = pages.titles(t(s, d, "pages")).select(F.element_at(F.split("title", " "), 1).alias("title"), "page_id").groupBy("title").agg(F.max("page_id").alias("concept_id"))
+    asked = dialog.last_question(t(s, d, "conversations")).select(F.col("conv_id").alias("query_id"), F.col("question").alias("text"))
+    return catalog.mentions(asked, titles)
+
+
+@query("page_markdown")
+def _(s, d):
+    return parsers.markdown(t(s, d, "pages"))
+
+
+@query("document_chunks")
+def _(s, d):
+    return parsers.chunks(t(s, d, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 
