@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loreloom.functions.text import search_tokens
+from loreloom.plans.checkpoint import cut
 
 K1, B = 1.5, 0.75
 RRF_K = 60
@@ -26,7 +27,9 @@ class Index:
 
 
 def tokens_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(F.col(key).alias("doc_id"), F.coalesce(search_tokens(text), F.array().cast("array<string>")).alias("tokens"))
+    # An explode of one element keeps the optimizer from pasting the expression into every use of it.
+    tokens = F.coalesce(search_tokens(text), F.array().cast("array<string>"))
+    return docs.select(F.col(key).alias("doc_id"), F.explode(F.array(tokens)).alias("tokens"))
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
@@ -39,7 +42,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Ind
 def bm25(docs: DataFrame, terms: list[str], k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score) of the k best documents. Ties go by the first query term that hit, then by id.
 
-    One scan: a query needs the lengths of all documents but the frequencies of its terms only,
+    A query needs the lengths of all documents but the frequencies of its terms only,
     so those are counted in place and nothing else is exploded or shuffled.
     """
     terms = list(dict.fromkeys(terms))
@@ -51,7 +54,8 @@ def bm25(docs: DataFrame, terms: list[str], k: int, key: str = "doc_id", text: s
         return F.size(F.filter("tokens", lambda x: x == term)).cast("bigint")
 
     counts = [times(w) for w in terms]
-    facts = tokens.select("doc_id", F.size("tokens").cast("double").alias("len"), *(c.alias(f"tf{i}") for i, c in enumerate(counts)))
+    # Texts are read once: what both the totals and the scores need is a narrow table.
+    facts = cut(tokens.select("doc_id", F.size("tokens").cast("double").alias("len"), *(c.alias(f"tf{i}") for i, c in enumerate(counts))))
     totals = facts.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *(F.sum((F.col(f"tf{i}") > 0).cast("double")).alias(f"df{i}") for i in range(len(terms))))
     hit = facts.where(" or ".join(f"tf{i} > 0" for i in range(len(terms)))).join(F.broadcast(totals))
     score, first = F.lit(0.0), F.lit(len(terms))
