@@ -11,8 +11,9 @@ each set, and the passes' word spans are united per document row, so that the re
 the same whatever the size.
 
 Defined cases: a null or empty text has no words and is clean; an item without words
-never hits; repeated items and repeated document rows each keep their own row; columns
-other than the named ones are neither read nor needed, whatever their names.
+never hits; one with a null id hits without being named; repeated items and repeated
+document rows each keep their own row; columns other than the named ones are neither read
+nor needed, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ class WindowSet:
     by_length: dict[int, tuple[np.ndarray, list[tuple[bytes, ...]], list[tuple[str, ...]]]] = field(default_factory=dict)
 
     @classmethod
-    def build(cls, rows: list[tuple[str, str | None]], n: int) -> WindowSet:
+    def build(cls, rows: list[tuple[str | None, str]], n: int) -> WindowSet:
         found: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
         hashes: dict[tuple[bytes, ...], int] = {}
         for item, text in rows:
@@ -49,7 +50,7 @@ class WindowSet:
                 continue
             for h, at in zip(*ts.windows(w, length), strict=True):
                 key = tuple(w.word(i) for i in range(at, at + length))
-                found.setdefault(length, {}).setdefault(key, set()).add(item)
+                found.setdefault(length, {}).setdefault(key, set()).update(() if item is None else (item,))
                 hashes[key] = int(h)
         out = cls()
         for length, by_key in found.items():
@@ -79,7 +80,7 @@ class WindowSet:
 def window_sets(benchmark: DataFrame, item: str, text: str, window: int, limit: int) -> Iterator[WindowSet]:
     """Sets of at least `limit` windows, but for the last; the driver holds one of them and one row at a time."""
     rows, size = [], 0
-    for name, words in benchmark.select(F.col(item).cast("string"), F.col(text)).where(F.col(item).isNotNull() & F.col(text).isNotNull()).toLocalIterator():
+    for name, words in benchmark.select(F.col(item).cast("string"), F.col(text)).where(F.col(text).isNotNull()).toLocalIterator():
         rows.append((name, words))
         size += 1 + len(words) // 2
         if size >= limit:
