@@ -2,9 +2,10 @@
 
 Documents are sets of word shingles. Documents with the same set are one representative from
 the start. Every representative enters the root branches of `TREES` independent trees, each
-branch keyed by one selected minwise token; those that meet under a key are a node. A node
-that is small is compared exhaustively; a large one branches again by further minwise tokens
-of its members, level by level, which parts documents that are not alike.
+branch keyed by one selected minwise token and by a class of set sizes that can reach the
+threshold together; those that meet under a key are a node. A node that is small is compared
+exhaustively; a large one branches again, `FORKS` times by `DEEPER` further minwise tokens of
+its members, level by level, which parts documents that are not alike.
 
 Only connections matter for the result, so the work follows them:
 
@@ -12,10 +13,12 @@ Only connections matter for the result, so the work follows them:
    full sets confirm is linked, and nodes whose members are all connected are done. A hot
    group of near copies ends here, whatever its size.
 2. Small nodes that still hold several components are compared exhaustively, but only across
-   components; large ones branch. A node still large after `LEVELS` levels is compared in
+   components. In large ones every member is compared with the medoid, the member most like
+   the commonest signature; copies that differ from each other but are near one original meet
+   there. Nodes that are one component now are done, the others branch. A node still large after `LEVELS` levels is compared in
    blocks, each pair of blocks in its own group, so nothing is ever left out by size.
 
-Candidates come from signatures of 128 minwise values with a margin of four standard
+Candidates come from signatures of 256 minwise values, 8 bits each, with a margin of four standard
 deviations below the threshold; every link is then confirmed on the full shingle sets. A
 pair at the threshold is missed by all root branches with probability 0.2 ** 8.
 
@@ -40,8 +43,9 @@ from loreloom.llm.components import components
 from loreloom.llm.scratch import Scratch
 
 TREES, BRANCHES = 4, 2
-LEVELS = 6
-SLOTS = 128
+FORKS, DEEPER = 4, 2
+LEVELS = 3
+SLOTS = 256
 NODE = 256
 FILTER_BITS = 1 << 24
 
@@ -87,7 +91,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], key: str, text: str, n: int) -> I
             low[:, k] = np.minimum.reduceat(h * factors[k], at)
         roots = TREES * BRANCHES
         keys = ts.mix(low[:, :roots] + np.arange(roots, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-        signature = (ts.mix(low) & np.uint64(0xFFFF)).astype(np.uint16)
+        signature = (ts.mix(low) & np.uint64(0xFF)).astype(np.uint8)
         a, b = _fingerprints(h, at) if len(some) else (np.zeros(0, np.int64),) * 2
         where = np.full(batch.num_rows, -1)
         where[some] = np.arange(len(some))
@@ -129,21 +133,21 @@ def _alike(x: np.ndarray, y: np.ndarray, least: int) -> np.ndarray:
     return (x == y).sum(1) >= least
 
 
-def _compare(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], least: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs of different components with like signatures in each node; rows come sorted by node, about 2 * NODE to one at most."""
     kept: pa.Table | None = None
 
     def pairs(table: pa.Table) -> pa.RecordBatch:
         node = table["node"].to_numpy()
-        rep, comp, side = table["rep"].to_numpy(), table["comp"].to_numpy(), table["side"].to_numpy()
+        rep, comp, side, n = (table[c].to_numpy() for c in ("rep", "comp", "side", "n"))
         data, _ = ts.flat(table["sig"])
-        sig = data.view(np.uint16).reshape(-1, SLOTS)
+        sig = data.reshape(-1, SLOTS)
         p, q = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for d in range(1, len(node)):
             at = np.flatnonzero(node[d:] == node[:-d])
             if not len(at):
                 break
-            at = at[(comp[at] != comp[at + d]) & ((side[at] < 0) | (side[at] != side[at + d]))]
+            at = at[(comp[at] != comp[at + d]) & ((side[at] < 0) | (side[at] != side[at + d])) & (100 * np.minimum(n[at], n[at + d]) >= percent * np.maximum(n[at], n[at + d]))]
             for i in range(0, len(at), 65536):
                 some = at[i : i + 65536]
                 ok = some[_alike(sig[some], sig[some + d], least)]
@@ -167,6 +171,37 @@ def _compare(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
         yield pairs(kept.combine_chunks())
 
 
+def _medoids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each (node, block) of sorted rows, the member most like the commonest value of every slot."""
+    kept: pa.Table | None = None
+
+    def best(table: pa.Table) -> pa.RecordBatch:
+        node, block, rep = (table[c].to_numpy() for c in ("node", "block", "rep"))
+        sig = ts.flat(table["sig"])[0].reshape(-1, SLOTS)
+        new = np.ones(len(node), bool)
+        new[1:] = (node[1:] != node[:-1]) | (block[1:] != block[:-1])
+        begin = np.flatnonzero(new)
+        out = []
+        for a, b in zip(begin, np.append(begin[1:], len(node)), strict=True):
+            votes = np.bincount((sig[a:b] + np.arange(SLOTS) * 256).ravel(), minlength=256 * SLOTS).reshape(SLOTS, 256)
+            alike = (sig[a:b] == votes.argmax(1)).sum(1)
+            out.append((node[a], rep[a + int(alike.argmax())], int(alike.max())))
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["node", "rep", "alike"])
+
+    for batch in batches:
+        if batch.num_rows:
+            now = pa.Table.from_batches([batch])
+            kept = now if kept is None else pa.concat_tables([kept, now])
+            node, block = kept["node"].to_numpy(), kept["block"].to_numpy()
+            other = np.flatnonzero((node != node[-1]) | (block != block[-1]))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut and kept.num_rows >= 4096:
+                yield best(kept.slice(0, cut).combine_chunks())
+                kept = kept.slice(cut).combine_chunks()
+    if kept is not None:
+        yield best(kept.combine_chunks())
+
+
 class _Join:
     def __init__(self, docs: DataFrame, key: str, text: str, n: int, percent: int):
         self.docs, self.key, self.text, self.n, self.percent = docs, key, text, n, percent
@@ -178,7 +213,7 @@ class _Join:
         sketched = self.docs.select(self.key, self.text).mapInArrow(partial(_sketch, key=self.key, text=self.text, n=self.n), f"key {kind}, n bigint, a bigint, b bigint, keys array<bigint>, sig binary")
         rows = self.scratch.cut(sketched.withColumn("node", F.monotonically_increasing_id()), "rows")
         groups = self.scratch.cut(rows.where("n > 0 and key is not null").groupBy("a", "b", "n").agg(F.min("node").alias("rep"), F.min("key").alias("low")), "groups")
-        reps = self.scratch.cut(rows.join(groups.select("rep"), F.col("node") == F.col("rep"), "left_semi").select(F.col("node").alias("rep"), "key", "a", "b", "keys", "sig"), "reps")
+        reps = self.scratch.cut(rows.join(groups.select("rep"), F.col("node") == F.col("rep"), "left_semi").select(F.col("node").alias("rep"), "key", "n", "a", "b", "keys", "sig"), "reps")
         return rows, groups, reps
 
     def confirmed(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -210,7 +245,7 @@ class _Join:
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x, y = (ts.flat(batch.column(c))[0].view(np.uint16).reshape(-1, SLOTS) for c in "xy")
+                x, y = (ts.flat(batch.column(c))[0].reshape(-1, SLOTS) for c in "xy")
                 yield pa.RecordBatch.from_arrays([batch.column("p"), batch.column("q"), pa.array((x == y).sum(1), pa.int64())], names=["p", "q", "same"])
 
         scored = signed.mapInArrow(score, "p bigint, q bigint, same bigint").where(F.col("same") >= self.least)
@@ -218,7 +253,10 @@ class _Join:
 
     def links(self, reps: DataFrame) -> DataFrame:
         cut = self.scratch.cut
-        member = reps.select("rep", F.explode("keys").alias("node"))
+        # Sets whose sizes can reach the threshold are in one class or in neighbours; each goes to its own class and to the next.
+        size_class = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / self.percent + 0.01)))
+        classed = F.flatten(F.transform("keys", lambda k: F.array(F.xxhash64(k, size_class), F.xxhash64(k, size_class + 1))))
+        member = reps.select("rep", F.explode(classed).alias("node"))
         pivots = F.min("rep").alias("p1"), F.max("rep").alias("p2"), F.min_by("rep", F.xxhash64("rep")).alias("p3")
         nodes = cut(member.groupBy("node").agg(F.count("*").alias("size"), *pivots).where("size > 1"), "nodes")
         members = cut(member.join(nodes, "node"), "members")
@@ -237,33 +275,52 @@ class _Join:
             self.scratch.drop(table)
         return out
 
+    def _roots(self, found: DataFrame) -> DataFrame:
+        return self.scratch.cut(components(found, self.scratch, "p", "q").select(F.col("node").alias("of"), "root"), "roots")
+
+    def _by_medoid(self, large: DataFrame, reps: DataFrame) -> DataFrame:
+        """Links between members of large nodes and their node's medoid."""
+        blocks = F.pmod(F.xxhash64("rep", F.lit(9)), F.ceil(F.col("size") / NODE)).cast("int")
+        signed = large.select("node", "rep", blocks.alias("block")).join(reps.select("rep", "sig"), "rep").repartition("node", "block").sortWithinPartitions("node", "block", "rep")
+        found = signed.select("node", "block", "rep", "sig").mapInArrow(_medoids, "node bigint, rep bigint, alike bigint")
+        medoid = self.scratch.cut(found.groupBy("node").agg(F.max_by("rep", F.struct("alike", "rep")).alias("q")), "medoids")
+        pairs = self.scratch.cut(large.select("node", F.col("rep").alias("p")).join(medoid, "node").where("p <> q").select("p", "q").distinct(), "to-medoids")
+        return self.confirmed(self._near(pairs, reps), reps)
+
     def _rest(self, members: DataFrame, found: DataFrame, reps: DataFrame) -> DataFrame:
         cut = self.scratch.cut
-        roots = cut(components(found, self.scratch, "p", "q").select(F.col("node").alias("of"), "root"), "roots")
-        signatures = reps.select("rep", "sig")
-        level, candidates = self._mixed(members, roots), None
+        roots, signatures, more, candidates = self._roots(found), reps.select("rep", "n", "sig"), None, None
+        level = self._mixed(members, roots)
         for depth in range(LEVELS + 1):
-            small = level.where(F.col("size") <= NODE).withColumn("side", F.lit(-1))
             large = level.where(F.col("size") > NODE)
+            if not large.isEmpty():
+                gained = self._by_medoid(large, reps)
+                more = gained if more is None else more.unionByName(gained)
+                roots = self._roots(found.unionByName(more))
+                level = self._mixed(level.select("node", "rep"), roots)
+                large = level.where(F.col("size") > NODE)
+            small = level.where(F.col("size") <= NODE).withColumn("side", F.lit(-1))
             if depth == LEVELS:
                 # Blocks of about NODE rows; a group for each pair of blocks compares across the two, or within one.
-                n = F.ceil(F.col("size") / NODE).cast("int")
-                dealt = large.withColumn("n", n).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("n")).cast("int"))
-                other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+                parts = F.ceil(F.col("size") / NODE).cast("int")
+                dealt = large.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("parts")).cast("int"))
+                other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
                 low, high = F.least("block", "other"), F.greatest("block", "other")
                 blocks = other.select(F.xxhash64("node", low, high).alias("node"), "rep", "comp", "size", F.when(low == high, F.lit(-1)).otherwise(F.col("block")).alias("side"))
                 small, large = small.unionByName(blocks), None
-            ready = small.join(signatures, "rep").select("node", "rep", "comp", "side", "sig").repartition("node").sortWithinPartitions("node", "rep")
-            got = cut(ready.mapInArrow(partial(_compare, least=self.least), "p bigint, q bigint").distinct(), "found")
+            ready = small.join(signatures, "rep").select("node", "rep", "comp", "side", "n", "sig").repartition("node").sortWithinPartitions("node", "rep")
+            got = cut(ready.mapInArrow(partial(_compare, least=self.least, percent=self.percent), "p bigint, q bigint").distinct(), "found")
             candidates = got if candidates is None else candidates.unionByName(got)
             if large is None or large.isEmpty():
                 break
-            place = F.pmod(F.xxhash64("node", "branch", F.lit(depth)), F.lit(SLOTS)).cast("int")
-            deeper = large.select("node", "rep").join(signatures, "rep").withColumn("branch", F.explode(F.array(*(F.lit(i) for i in range(BRANCHES)))))
-            deeper = deeper.withColumn("place", place).select(F.expr("xxhash64(node, place, substring(sig, 2 * place + 1, 2))").alias("node"), "rep")
-            old, level = level, self._mixed(cut(deeper, "deeper"), roots)
+            places = [F.pmod(F.xxhash64("node", "fork", F.lit(depth * DEEPER + i)), F.lit(SLOTS)).cast("int") for i in range(DEEPER)]
+            deeper = large.select("node", "rep").join(signatures.select("rep", "sig"), "rep").withColumn("fork", F.explode(F.array(*(F.lit(i) for i in range(FORKS)))))
+            deeper = cut(deeper.select(F.xxhash64("node", "fork", *(F.substring("sig", p + 1, F.lit(1)) for p in places)).alias("node"), "rep"), "deeper")
+            old, level = level, self._mixed(deeper, roots)
             self.scratch.drop(old)
-        return self.confirmed(candidates, reps)
+            self.scratch.drop(deeper)
+        last = self.confirmed(candidates, reps)
+        return last if more is None else last.unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
