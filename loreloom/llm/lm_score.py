@@ -8,8 +8,9 @@ smoothed by the token's own (Dirichlet prior of weight `MU`).
 
 The filter is blocked: the hash of the n-gram names one block, all its probes fall there, so
 a reducer that owns a block writes it out whole. Its size follows the number of n-grams at
-`BITS` bits for each label, up to `MAX_BYTES`, which bounds the broadcast. A corpus that needs more is
-scored from a filter that is fuller than planned: estimates then err upwards more often.
+`BITS` bits for each label. `MAX_BYTES` bounds the broadcast: a larger filter goes out in
+shards of whole blocks with a pass over the text for each. An n-gram's block lies in one shard,
+so the passes carry every token's two levels along, and the scores don't depend on `MAX_BYTES`.
 
 The base score needs exact counts. The `EXACT` most frequent tokens go out as a sorted table
 of that bounded size; the rest of a document's tokens is joined with the counts by hash.
@@ -61,13 +62,13 @@ def _pairs(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
     before[first[:-1]] = END
-    return ts.mix(before * _PAIR + tokens), before
+    return ts.mix(before * _PAIR + tokens)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in ts.slices(batches, "text", 8 << 20):
         tokens, first = _tokens(batch.column("text"))
-        for kind, grams in ((1, tokens), (2, _pairs(tokens, first)[0])):
+        for kind, grams in ((1, tokens), (2, _pairs(tokens, first))):
             h, n = np.unique(grams, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int8)), pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["kind", "h", "n"])
 
@@ -97,10 +98,10 @@ def _fill(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iter
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
 
 
-def _probe(filled: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Levels of n-grams: labels are probed in turn until one is missing."""
-    level = np.zeros(len(h), np.int64)
-    begin = (h % np.uint64(len(filled) // _BLOCK)).astype(np.int64) * (8 * _BLOCK)
+def _probe(filled: np.ndarray, h: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Levels of n-grams in blocks of the filter: labels are probed in turn until one is missing."""
+    level = np.zeros(len(h), np.int8)
+    begin = block * (8 * _BLOCK)
     alive = np.arange(len(h))
     label = 0
     while len(alive) and label < 64:
@@ -114,13 +115,34 @@ def _probe(filled: np.ndarray, h: np.ndarray) -> np.ndarray:
     return level
 
 
+def _levels(batch: pa.RecordBatch, name: str, grams: np.ndarray, shard: tuple[np.ndarray, int, int]) -> np.ndarray:
+    """The n-grams' levels as carried in column `name`, with those of a shard's blocks looked up."""
+    filled, begin, n_blocks = shard
+    level = np.frombuffer(b"".join(batch.column(name).to_pylist()), np.int8).copy() if name in batch.schema.names else np.zeros(len(grams), np.int8)
+    inside = slice(None)
+    if len(filled) < n_blocks * _BLOCK:
+        block = (grams % np.uint64(n_blocks)).astype(np.int64) - begin
+        inside = np.flatnonzero((block >= 0) & (block < len(filled) // _BLOCK))
+    u, back = np.unique(grams[inside], return_inverse=True)
+    level[inside] = _probe(filled, u, (u % np.uint64(n_blocks)).astype(np.int64) - begin)[back]
+    return level
+
+
+def _carried(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    """The rows with the levels of their tokens and pairs, as far as the shards seen go; one byte each."""
+    for batch in ts.slices(batches, "text", 8 << 20):
+        tokens, first = _tokens(batch.column("text"))
+        levels = [_levels(batch, name, grams, model.value) for name, grams in (("own", tokens), ("both", _pairs(tokens, first)))]
+        offsets = pa.py_buffer(first.astype(np.int32))
+        carried = [pa.BinaryArray.from_buffers(pa.binary(), batch.num_rows, [None, offsets, pa.py_buffer(x)]) for x in levels]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "text", "held_out")), *carried], names=["key", "text", "held_out", "own", "both"])
+
+
 def _scored(batches: Iterator[pa.RecordBatch], model, exact) -> Iterator[pa.RecordBatch]:
     """Scores, and the tokens outside the exact table as (token, times in the row)."""
-    filled, total, distinct = model.value
-    known, count = exact.value
+    known, count, total, distinct = exact.value
     for batch in ts.slices(batches, "text", 8 << 20):
         tokens, first = _tokens(batch.column("text"))
-        pairs, before = _pairs(tokens, first)
         owner = np.repeat(np.arange(batch.num_rows), np.diff(first))
         u, back = np.unique(tokens, return_inverse=True)
         at = np.minimum(np.searchsorted(known, u), max(0, len(known) - 1))
@@ -130,13 +152,14 @@ def _scored(batches: Iterator[pa.RecordBatch], model, exact) -> Iterator[pa.Reco
         rare, times = np.unique(owner[some] * len(u) + back[some], return_counts=True)
         begin = np.searchsorted(rare // len(u), np.arange(batch.num_rows + 1))
         lists = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.StructArray.from_arrays([pa.array(u[rare % len(u)].view(np.int64)), pa.array(times, pa.int64())], names=["h", "times"]))
-        own = _estimate(_probe(filled, u))
-        unique_pairs, pair_back = np.unique(pairs, return_inverse=True)
-        both = _estimate(_probe(filled, unique_pairs))[pair_back]
-        unique_before, before_back = np.unique(before, return_inverse=True)
-        context = _estimate(_probe(filled, unique_before))[before_back]
+        own = _estimate(_levels(batch, "own", tokens, model.value))
+        both = _estimate(_levels(batch, "both", _pairs(tokens, first), model.value))
+        # A row's last token is the end, which also comes before its first.
+        context = np.empty_like(own)
+        context[1:] = own[:-1]
+        context[first[:-1]] = own[first[1:] - 1]
         lower = np.minimum(1.0, (own + 0.5) / (total + 0.5 * (distinct + 1)))
-        p = (np.minimum(both, context) + MU * lower[back]) / (context + MU)
+        p = (np.minimum(both, context) + MU * lower) / (context + MU)
         add = lambda x: np.bincount(owner, weights=x, minlength=batch.num_rows)
         columns = [pa.array(np.diff(first), pa.int64()), pa.array(add(found[back]).astype(np.int64)), pa.array(add(p_base[back])), pa.array(add(np.log10(p))), lists]
         yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("held_out"), *columns], names=["key", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
@@ -156,18 +179,35 @@ def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     single = counts.where("kind = 1").select("h", "n")
     total, distinct = (x or 0 for x in single.agg(F.sum("n"), F.count("*")).first())
     labels = counts.select(F.sum(1 + F.rint(F.log(F.col("n").cast("double")) / F.log(F.lit(BASE))))).first()[0] or 0
-    n_blocks = int(max(1, min(MAX_BYTES, labels * BITS / 8) // _BLOCK))
+    n_blocks = int(max(1, labels * BITS / 8 // _BLOCK))
+    shard_blocks = max(1, MAX_BYTES // _BLOCK)
     # h is a 64-bit pattern: its unsigned remainder names the block.
     signed = F.pmod(F.pmod("h", F.lit(n_blocks)) + F.when(F.col("h") < 0, F.lit((1 << 64) % n_blocks)).otherwise(F.lit(0)), F.lit(n_blocks))
-    filled = np.zeros(n_blocks * _BLOCK, np.uint8)
-    for row in counts.select(signed.alias("block"), "h", "n").groupBy("block").applyInArrow(_fill, "block bigint, bits binary").toLocalIterator():
-        filled[row["block"] * _BLOCK : (row["block"] + 1) * _BLOCK] = np.frombuffer(bytes(row["bits"]), np.uint8)
+    blocks = counts.select(signed.alias("block"), "h", "n").groupBy("block").applyInArrow(_fill, "block bigint, bits binary")
+    if n_blocks > shard_blocks:
+        blocks = scratch.cut(blocks, "blocks")
+
+    def shard(begin: int):
+        end = min(n_blocks, begin + shard_blocks)
+        filled = np.zeros((end - begin) * _BLOCK, np.uint8)
+        for row in blocks.where((F.col("block") >= begin) & (F.col("block") < end)).toLocalIterator():
+            at = (row["block"] - begin) * _BLOCK
+            filled[at : at + _BLOCK] = np.frombuffer(bytes(row["bits"]), np.uint8)
+        return spark.sparkContext.broadcast((filled, begin, n_blocks))
+
+    *others, last = range(0, n_blocks, shard_blocks)
+    rows = source
+    for begin in others:
+        model, before = shard(begin), rows
+        rows = scratch.cut(before.mapInArrow(partial(_carried, model=model), f"{', '.join(f'{n} {t}' for n, t in source.dtypes)}, own binary, both binary"), "levels")
+        scratch.drop(before)
+        model.destroy()
+    model = shard(last)
     top = single.orderBy(F.desc("n"), "h").limit(exact_tokens).toPandas()
     order = np.argsort(top["h"].to_numpy(np.int64).view(np.uint64))
-    exact = spark.sparkContext.broadcast((top["h"].to_numpy(np.int64).view(np.uint64)[order], top["n"].to_numpy(np.float64)[order]))
-    model = spark.sparkContext.broadcast((filled, float(total), float(distinct)))
+    exact = spark.sparkContext.broadcast((top["h"].to_numpy(np.int64).view(np.uint64)[order], top["n"].to_numpy(np.float64)[order], float(total), float(distinct)))
     schema = f"key {dict(source.dtypes)['key']}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, rare array<struct<h:bigint,times:bigint>>"
-    main = scratch.cut(source.mapInArrow(partial(_scored, model=model, exact=exact), schema).withColumn("row", F.monotonically_increasing_id()), "scored")
+    main = scratch.cut(rows.mapInArrow(partial(_scored, model=model, exact=exact), schema).withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = main.select("row", F.explode("rare").alias("x")).select("row", "x.h", "x.times")
     weight = lambda c: F.log10((c + 0.5) / F.lit(total + 0.5 * (distinct + 1)))
     joined = rare.join(single, "h", "left").groupBy("row").agg(F.sum(F.col("times") * weight(F.coalesce("n", F.lit(0)))).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("also"))

@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter
 
+from loreloom.llm import lm_score
 from loreloom.llm.lm_score import score_documents
 from loreloom.llm.registry import op8_lm_score
 
@@ -40,3 +41,11 @@ def test_odd_rows(spark):
     for exact in (1 << 18, 3):
         check(score_documents(df, exact_tokens=exact).collect(), docs)
     assert score_documents(df.limit(0)).count() == 0
+
+
+def test_filter_beyond_one_broadcast(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    score = lambda: sorted((r["doc_id"], r["score"]) for r in score_documents(docs).collect())
+    whole = score()
+    monkeypatch.setattr(lm_score, "MAX_BYTES", 5 * lm_score._BLOCK)
+    assert score() == whole
