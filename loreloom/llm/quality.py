@@ -9,12 +9,17 @@ Counts of the raw model cover all documents. The target model is fitted on the l
 documents, at most `max_labelled` of them, taken in the order of a hash of their ids. Models
 count documents that have a feature, since one document can repeat a word at will: words,
 pairs of words, shapes of words and repeats of a word, in a table for 1- and one for
-2-grams. A bucket's log ratio is smoothed by `PRIOR` expected occurrences and set to 0 where it lies within `DEAD_BAND` of 0, so that sampling
-noise over thousands of ordinary words doesn't drown the few that tell. Copies of one good
-text that happens to have no label would look unlike the target; so a bucket counts against
-a document only as far as the rejected labelled documents bear it out. A document's ratio is
-the sum over its n-grams. k is the number of documents whose ratio exceeds the threshold
-that best parts good from bad labelled documents, so that the share kept follows the corpus.
+2-grams. A bucket's weight is the signed log ratio of target to raw, smoothed by `PRIOR`
+expected occurrences; every bucket counts, multiplied by z^4 / (z^4 + 2^4), where z is the
+ratio in standard errors, so that noise over thousands of ordinary words doesn't drown the few
+that tell; half the ratio counts at two standard errors. A labelled good document is judged by weights that leave its
+own occurrences out of the target, as an unlabelled one is, or it would look better than all others.
+
+For each table the mean weight is taken over a document's features, so that length alone moves
+nothing. The threshold is the sum of the two means that best parts good from bad labelled
+documents; a document's ratio is what its sum exceeds it by, times its number of features.
+Gumbel noise of scale `TEMPERATURE` is added to that. k is the number of documents with a
+positive ratio, so that the share kept follows the corpus.
 
 The k-th largest key is found by counting keys in ever narrower bins, never by sorting in one
 task; documents that tie with it stay too.
@@ -42,10 +47,9 @@ from loreloom.llm.scratch import Scratch
 BUCKETS = 1 << 18
 MAX_LABELLED = 200_000
 PRIOR = 5.0
-DEAD_BAND = 1.0
 #: A good document lost weighs as much as so many bad ones kept.
 CARE = 3
-TEMPERATURE = 0.1
+TEMPERATURE = 1.0
 _SIZE, _PART = 2 * BUCKETS, 1 << 14
 
 
@@ -125,14 +129,33 @@ def gram_counts(docs: DataFrame, text: str) -> dict[int, np.ndarray]:
     return out
 
 
+def _weights(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Signed log ratios of all buckets, each as far as it stands out from its sampling noise.
+
+    Two rows: as they are, and for a document that is itself in the target.
+    """
+    weights = np.zeros((2, _SIZE))
+    for table in (slice(0, BUCKETS), slice(BUCKETS, _SIZE)):
+        expected = raw[table] * (target[table].sum() / max(1, raw[table].sum())) + PRIOR
+        for own in (0, 1):
+            seen = np.maximum(target[table] - own, 0) + PRIOR
+            ratio = np.log(seen / expected)
+            z = ratio / np.sqrt(1 / seen + 1 / expected)
+            weights[own, table] = ratio * z**4 / (z**4 + 2**4)
+    return weights
+
+
 def _score(batches: Iterator[pa.RecordBatch], text: str, weights, keep: bool = False) -> Iterator[pa.RecordBatch]:
     for batch in ts.slices(batches, text):
         bucket, row = _grams(ts.words(batch.column(text), ts.NON_SPACE))
         n = np.bincount(row, minlength=batch.num_rows)
-        total = np.bincount(row, weights=weights.value[bucket], minlength=batch.num_rows)
-        ratio = np.where(n > 0, total, -np.inf)
+        own = (batch.column("__label").to_numpy(zero_copy_only=False) == 1).astype(np.int64)
+        weight = weights.value[own[row], bucket]
+        mean = np.zeros(batch.num_rows)
+        for of in (bucket < BUCKETS, bucket >= BUCKETS):
+            mean += np.bincount(row[of], weights=weight[of], minlength=batch.num_rows) / np.maximum(1, np.bincount(row[of], minlength=batch.num_rows))
         kept = [c for c in batch.schema.names if keep or c != text]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(n, pa.int64()), pa.array(ratio)], names=[*kept, "n_grams", "ratio"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(n, pa.int64()), pa.array(np.where(n > 0, mean, -np.inf))], names=[*kept, "n_grams", "mean"])
 
 
 def _threshold(good: np.ndarray, bad: np.ndarray) -> float:
@@ -189,30 +212,33 @@ class Resampler:
         scratch = Scratch(docs.sparkSession, "quality")
         usable = labels.where(F.col(key).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(key).alias("__id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
         known = usable.select("__id", F.when((F.col("q") == 1) & (F.col("t") == 0), F.lit(1)).otherwise(F.lit(2)).alias("__label"))
-        sample = scratch.cut(known.orderBy(F.xxhash64("__id", F.lit(17))).limit(max_labelled), "labelled")
-        marked = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(sample), F.col("__key") == F.col("__id"), "left").select("__key", "__text", F.coalesce("__label", F.lit(0)).alias("__label"))
+        self.sample = scratch.cut(known.orderBy(F.xxhash64("__id", F.lit(17))).limit(max_labelled), "labelled")
+        marked = self._marked(docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")), "__key")
         counts = gram_counts(marked, "__text")
         none = np.zeros(_SIZE, np.int64)
-        target, bad = counts.get(1, none), counts.get(2, none)
-        raw = counts.get(0, none) + target + bad
-        weights = np.zeros(_SIZE)
-        for table in (slice(0, BUCKETS), slice(BUCKETS, _SIZE)):
-            against = [np.log((target[table] + PRIOR) / (x[table] * (target[table].sum() / max(1, x[table].sum())) + PRIOR)) for x in (raw, bad)]
-            weights[table] = np.minimum(0, np.maximum(*against))
-        weights[np.abs(weights) < DEAD_BAND] = 0
-        self.weights = docs.sparkSession.sparkContext.broadcast(weights)
-        scored = marked.mapInArrow(partial(_score, text="__text", weights=self.weights), f"__key {dict(docs.dtypes)[key]}, __label int, n_grams bigint, ratio double")
-        self.scored = scratch.cut(scored.withColumn("sample_key", _sample_key("__key", temperature)), "scored")
-        seen = self.scored.where("__label > 0 and n_grams > 0").orderBy(F.xxhash64("__key", F.lit(23))).select("__label", "ratio").limit(2 * max_labelled).toPandas()
-        cut = _threshold(seen["ratio"][seen["__label"] == 1].to_numpy(), seen["ratio"][seen["__label"] == 2].to_numpy())
-        self.k = self.scored.where(F.col("ratio") > F.lit(cut)).count() if np.isfinite(cut) else self.scored.where("n_grams > 0").count()
+        target = counts.get(1, none)
+        self.weights = docs.sparkSession.sparkContext.broadcast(_weights(target, counts.get(0, none) + target + counts.get(2, none)))
+        scored = scratch.cut(marked.mapInArrow(partial(_score, text="__text", weights=self.weights), f"__key {dict(docs.dtypes)[key]}, __label int, n_grams bigint, mean double"), "scored")
+        seen = scored.where("__label > 0 and n_grams > 0").orderBy(F.xxhash64("__key", F.lit(23))).select("__label", "mean").limit(2 * max_labelled).toPandas()
+        cut = _threshold(seen["mean"][seen["__label"] == 1].to_numpy(), seen["mean"][seen["__label"] == 2].to_numpy())
+        self.cut = cut if np.isfinite(cut) else 0.0
+        self.scored = self._keyed(scored, "__key")
+        self.k = self.scored.where("ratio > 0" if np.isfinite(cut) else "n_grams > 0").count()
         self.least = kth_largest(self.scored, "sample_key", self.k)
 
+    def _marked(self, rows: DataFrame, key: str) -> DataFrame:
+        """rows with `__label`: 0 none, 1 good, 2 bad."""
+        return rows.join(F.broadcast(self.sample), F.col(key) == F.col("__id"), "left").select(*rows.columns, F.coalesce("__label", F.lit(0)).alias("__label"))
+
+    def _keyed(self, scored: DataFrame, key: str) -> DataFrame:
+        ratio = F.when(F.col("n_grams") > 0, (F.col("mean") - F.lit(self.cut)) * F.col("n_grams")).otherwise(float("-inf"))
+        return scored.withColumn("ratio", ratio).withColumn("sample_key", _sample_key(key, self.temperature))
+
     def _selected(self):
         return (F.col("n_grams") > 0) & (F.col("sample_key") >= F.lit(self.least))
 
     def judged(self) -> DataFrame:
-        """key, n_grams, ratio (log importance), sample_key (ratio plus Gumbel noise) and selected of every row."""
+        """key, n_grams, ratio (log importance above the threshold), sample_key (ratio plus Gumbel noise) and selected of every row."""
         return self.scored.select(F.col("__key").alias(self.key), "n_grams", "ratio", "sample_key", self._selected().alias("selected"))
 
     def filter(self, docs: DataFrame) -> DataFrame:
@@ -221,9 +247,10 @@ class Resampler:
         renamed = docs.toDF(*names)
         at = names[docs.columns.index(self.text)]
         key = names[docs.columns.index(self.key)]
-        types = ", ".join(f"{n} {t}" for n, t in renamed.dtypes)
-        scored = renamed.mapInArrow(partial(_score, text=at, weights=self.weights, keep=True), f"{types}, n_grams bigint, ratio double")
-        return scored.withColumn("sample_key", _sample_key(key, self.temperature)).where(self._selected()).select(*names).toDF(*docs.columns)
+        marked = self._marked(renamed, key)
+        types = ", ".join(f"{n} {t}" for n, t in marked.dtypes)
+        scored = marked.mapInArrow(partial(_score, text=at, weights=self.weights, keep=True), f"{types}, n_grams bigint, mean double")
+        return self._keyed(scored, key).where(self._selected()).select(*names).toDF(*docs.columns)
 
 
 def resample(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

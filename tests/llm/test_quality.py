@@ -40,3 +40,26 @@ def test_odd_rows(spark):
     assert sorted(r["ratio"] for r in kept.collect()) == [1.0, 4.0, 5.0, 6.0]
     assert Resampler(docs.limit(0), labels).filter(docs.limit(0)).count() == 0
     assert Resampler(docs, labels.limit(0)).filter(docs).count() == 4
+
+
+def test_signed_ratio_of_all_grams_with_noise_of_scale_one(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    fitted = Resampler(docs, labels)
+    rows = fitted.judged().toPandas()
+    rows = rows[rows.n_grams > 0]
+    assert (rows.ratio == 0).mean() < 0.01 and (rows.ratio > 0).any() and (rows.ratio < 0).any()
+    assert 1 < (rows.sample_key - rows.ratio).std() < 1.6
+    # The sample isn't the plain threshold.
+    assert (rows.selected != (rows.ratio > 0)).any()
+    assert sorted(r[0] for r in fitted.filter(docs).select("doc_id").collect()) == sorted(rows.doc_id[rows.selected])
+
+
+def test_length_alone_moves_nothing(spark):
+    good, bad, plain = ([f"{kind}{i}" for i in range(30)] for kind in ("fine", "poor", "word"))
+    text = lambda i, telling, n: " ".join([telling[(i + j) % 30] if j % 5 == 0 else plain[(7 * i + j) % 30] for j in range(n)])
+    rows = [(i, text(i, good if i % 2 else bad, 10 if i % 4 < 2 else 400)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id bigint, quality int, toxic int")
+    for r in Resampler(docs, labels).judged().where("doc_id >= 200").collect():
+        assert (r["ratio"] > 0) == (r["doc_id"] % 2 == 1), r
