@@ -1,7 +1,8 @@
 """A corpus pipeline: quality, near-dedup, decontamination, then token ids.
 
 Each stage takes what the one before kept and returns the columns of documents, but for the
-last, which returns token ids. Rows that share an id share their fate in the near-dedup.
+last, which returns token ids. The near-dedup keeps exactly one row of each component, whatever
+the rows' ids: the one of the least id, and a row without an id only where no other has one.
 """
 
 from __future__ import annotations
@@ -22,8 +23,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+    rows = Scratch(spark, "near-dedup").cut(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    judged = near_duplicates(rows, key="__row").select("__row", "component_id").join(rows.select("__row", "doc_id"), "__row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "__row")).alias("first")
+    kept = judged.groupBy("component_id").agg(first).select("first.__row")
+    return rows.join(kept, "__row", "left_semi").select(docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,3 +36,13 @@ def test_odd_documents(spark, tmp_path):
         assert now.columns == docs.columns, name
     ids = [r["doc_id"] for r in now.select(F.col("doc_id")).collect()]
     assert None in ids and 1001 not in ids and 7 not in ids and 5 in ids
+
+
+def test_near_dedup_keeps_one_row_of_each_component(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    rows = [(7, text("a")), (7, text("a")), (3, text("a")), (7, text("b")), (9, text("b")), (None, text("c")), (None, text("c")), (None, text("d")), (4, text("d")), (3, text("e")), (None, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    expected = [(3, text("a")), (7, text("b")), (None, text("c")), (4, text("d")), (3, text("e")), (None, None), (8, "")]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(expected, key=str)
