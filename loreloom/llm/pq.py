@@ -18,15 +18,18 @@ vector, never pair by pair.
 Centres and codes are fitted on `SAMPLE` vectors, taken in the order of a hash of their ids;
 every vector is coded. Broadcast are the centres and codes only, whose sizes are fixed.
 
-Defined cases: a null, zero or non-finite vector, one of another length than the most common,
-and a vector with a null label link with nothing; rows with the same id, label and vector
+Vectors of different lengths link with nothing; each length is searched by itself, with a
+quantiser of its own.
+
+Defined cases: a null, zero or non-finite vector and a vector with a null label link with
+nothing; rows with the same id, label and vector
 count once; rows with a null id link with nothing and have a null component.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -146,19 +149,9 @@ def _compare(table: pa.Table, quantiser, cosine: float, width: int) -> pa.Table:
     return pa.table({"rep": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "to": pa.array([], pa.int64())})
 
 
-def near_duplicate_vectors(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = 0.98, lists: int = LISTS, sample: int = SAMPLE) -> DataFrame:
-    """key, n_links, component_id and kept, one row for each distinct (key, label, vector)."""
-    spark = vectors.sparkSession
-    scratch = Scratch(spark, "pq")
-    rows = vectors.select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v")).distinct()
-    sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0) & F.col("label").isNotNull() & F.col("key").isNotNull()
-    rows = scratch.cut(rows.withColumn("sound", F.coalesce(sound, F.lit(False))).withColumn("node", F.monotonically_increasing_id()), "rows")
-    common = rows.where("sound").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    width = common["n"] if common else 0
-    usable = rows.where(F.col("sound") & (F.size("v") == width))
-    alone = rows.select("key", "node")
-    if not width:
-        return alone.select(F.col("key").alias(key), F.lit(0).cast("bigint").alias("n_links"), F.col("key").alias("component_id"), F.lit(True).alias("kept"))
+def _known(usable: DataFrame, scratch: Scratch, width: int, cosine: float, lists: int, sample: int) -> DataFrame:
+    """label, v, n_links and component of the distinct vectors of one length."""
+    spark = usable.sparkSession
     reps = scratch.cut(usable.groupBy("label", "v").agg(F.min("node").alias("rep"), F.min("key").alias("low"), F.count("*").alias("times")), "reps")
     learn = np.array([r[0] for r in reps.orderBy(F.xxhash64("low", F.lit(3))).limit(sample).select("v").collect()], np.float64)
     quantiser = spark.sparkContext.broadcast(Quantiser(learn / np.linalg.norm(learn, axis=1, keepdims=True), lists, cosine))
@@ -183,7 +176,21 @@ def near_duplicate_vectors(vectors: DataFrame, *, key: str = "vec_id", vector: s
     roots = components(found, scratch, "rep", "to").select(F.col("node").alias("rep"), "root")
     placed = scratch.cut(reps.select("rep", "label", "v", "low", "times").join(roots, "rep", "left").join(counted, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "placed")
     least = scratch.cut(placed.groupBy("root").agg(F.min("low").alias("component")), "least")
-    known = scratch.cut(placed.join(least, "root").select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), "component"), "known")
+    return scratch.cut(placed.join(least, "root").select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), "component"), "known")
+
+
+def near_duplicate_vectors(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = 0.98, lists: int = LISTS, sample: int = SAMPLE) -> DataFrame:
+    """key, n_links, component_id and kept, one row for each distinct (key, label, vector)."""
+    scratch = Scratch(vectors.sparkSession, "pq")
+    rows = vectors.select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v")).distinct()
+    sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0) & F.col("label").isNotNull() & F.col("key").isNotNull()
+    rows = scratch.cut(rows.withColumn("sound", F.coalesce(sound, F.lit(False))).withColumn("node", F.monotonically_increasing_id()), "rows")
+    usable = rows.where("sound")
+    widths = sorted(r["n"] for r in usable.select(F.size("v").alias("n")).distinct().collect())
+    alone = rows.select("key", "node")
+    if not widths:
+        return alone.select(F.col("key").alias(key), F.lit(0).cast("bigint").alias("n_links"), F.col("key").alias("component_id"), F.lit(True).alias("kept"))
+    known = reduce(DataFrame.unionByName, [_known(usable.where(F.size("v") == n), scratch, n, cosine, lists, sample) for n in widths])
     joined = usable.select("node", "label", "v").join(known, ["label", "v"]).select("node", "n_links", "component")
     out = alone.join(joined, "node", "left").withColumn("component", F.when(F.col("key").isNotNull(), F.coalesce("component", "key")))
     return out.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("key") == F.col("component"), F.lit(True)).alias("kept"))

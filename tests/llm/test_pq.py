@@ -50,3 +50,10 @@ def test_hot_group_and_odd_vectors(spark):
     df = spark.createDataFrame([(*r, True) for r in [*rows, rows[0]]], "vec_id bigint, label int, embedding array<double>, kept boolean")
     assert rows_of(near_duplicate_vectors(df, lists=8, sample=100)) == brute(rows)
     assert near_duplicate_vectors(df.limit(0)).count() == 0
+
+
+def test_vectors_of_every_length(spark):
+    rng = np.random.default_rng(5)
+    rows = [(100 * n + i, i % 2, (1 + rng.normal(size=n) * 0.15).tolist()) for n, of in ((8, 30), (3, 12), (5, 9)) for i in range(of)] + [(1, 1, [2.0, 2.0]), (2, 1, [2.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<double>")
+    assert rows_of(near_duplicate_vectors(df, lists=4, sample=100)) == brute(rows)
