@@ -15,15 +15,12 @@ from loreloom.llm.scratch import Scratch
 
 def _star(edges: DataFrame, scratch: Scratch, large: bool) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    low = scratch.cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low")) if large else both.groupBy("a").agg(F.min("b").alias("low")), "low")
+    low = both.groupBy("a").agg(F.min("b").alias("low"))
     joined = both.join(low, "a")
-    if large:
-        out = joined.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-    else:
-        out = joined.where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b")))
-    done = scratch.cut(out.distinct(), "star")
-    scratch.drop(low)
-    return done
+    if large:  # repeated edges do no harm before the small star
+        return scratch.cut(joined.where("b > a").select(F.col("b").alias("a"), F.least("low", "a").alias("b")), "star")
+    out = joined.where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b")))
+    return scratch.cut(out.distinct(), "star")
 
 
 def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:

@@ -1,31 +1,36 @@
 """MinHash near-dedup by a chosen-path set similarity join.
 
 Documents are sets of word shingles. Documents with the same set are one representative from
-the start. Every representative enters the root branches of `TREES` independent trees, each
-branch keyed by one selected minwise token and by a class of set sizes that can reach the
-threshold together; those that meet under a key are a node. A node that is small is compared
-exhaustively; a large one branches again, `FORKS` times by `DEEPER` further minwise tokens of
-its members, level by level, which parts documents that are not alike.
-
-Only connections matter for the result, so the work follows them:
-
-1. In every node each member is compared with a few pivots (linear in the node). What the
-   full sets confirm is linked, and nodes whose members are all connected are done. A hot
-   group of near copies ends here, whatever its size.
-2. Small nodes that still hold several components are compared exhaustively, but only across
-   components. In large ones every member is compared with the medoid, the member most like
-   the commonest signature; copies that differ from each other but are near one original meet
-   there. Nodes that are one component now are done, the others branch. A node still large after `LEVELS` levels is compared in
-   blocks, each pair of blocks in its own group, so nothing is ever left out by size.
-
-Candidates come from signatures of 256 minwise values, 8 bits each, with a margin of four standard
-deviations below the threshold; every link is then confirmed on the full shingle sets. A
-pair at the threshold is missed by all root branches with probability 0.2 ** 8.
+the start. Every representative enters `TREES` independent trees. Its path in a tree is a
+sequence of minwise tokens; those that share the first `STEP` tokens meet in a root node. A
+node that is small is compared exhaustively; a large one branches by `STEP` more tokens of its
+members, again and again, until every node is small. A member follows one path in a tree, so
+a level never holds more rows than the level before, however alike the members are.
+
+Only connections matter for the result, so the work follows them, in two passes:
+
+1. The root nodes of `FIRST` trees. Large ones are dealt into chunks of at most `NODE` members,
+   and each chunk also gets the node's medoid, the member most like the commonest signature.
+   A hot group of near copies is connected here through its medoid, whatever its size.
+2. The nodes of all trees whose members aren't one component yet, branched until they're small.
+
+A node is small with at most `NODE` members and `ITEMS` shingles. Its members' signatures (256
+minwise values, 8 bits each) are compared across components, with a margin of four standard
+deviations below the threshold. Members that are like no other are done; the sets of the others
+are sent to the node, once for each member and never for each pair, and pairs are confirmed on the
+full sets, the likeliest first, until what can be linked is one component. A node reports the
+links that connect it, fewer than its members.
+
+Nothing is capped: a pair at the threshold that shares no root misses each other with probability
+(1 - 0.8 ** 2) ** TREES, 5e-6. Where a node branched d times, a tree still holds the pair with
+probability 0.8 ** (2 + 2 d); in a hot group a document has many partners, and one suffices.
 
 Defined cases: a document without words or with a null text has the empty set, links with
 nothing and keeps itself; with fewer words than a shingle the whole sequence is the one
-shingle; equal ids share their fate; rows with a null id link with nothing and have a null
-component; an empty table gives no rows. Columns other than key and text are not read.
+shingle; a very long text is one set like any other, and its node branches earlier; ties don't
+arise, since the least id names a component; repeated rows and equal ids share their fate; rows
+with a null id link with nothing and have a null component; an empty table gives no rows.
+Columns other than key and text aren't read, so their names may clash with results.
 """
 
 from __future__ import annotations
@@ -42,12 +47,13 @@ from loreloom.llm import textscan as ts
 from loreloom.llm.components import components
 from loreloom.llm.scratch import Scratch
 
-TREES, BRANCHES = 4, 2
-FORKS, DEEPER = 4, 2
-LEVELS = 3
+TREES, STEP, FIRST = 12, 2, 2
 SLOTS = 256
-NODE = 256
-FILTER_BITS = 1 << 24
+NODE, ITEMS = 512, 4 << 20
+#: All slots of a signature have been branched by then.
+DEPTH = SLOTS // STEP
+#: The filter of ids has 16 bits for each that is looked for, up to 64 MB.
+MAX_FILTER_BITS = 1 << 29
 
 
 def shingle_sets(column, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,9 +85,17 @@ def _fingerprints(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.add.reduceat(ts.mix(h), first).view(np.int64), np.add.reduceat(ts.mix(h ^ np.uint64(0x5851F42D4C957F2D)), first).view(np.int64)
 
 
+def _roots(low: np.ndarray) -> np.ndarray:
+    """The root of every row in every tree: a hash of the tree and of the first tokens of the path."""
+    keys = np.tile(np.arange(1, TREES + 1, dtype=np.uint64), (len(low), 1))
+    for step in range(STEP):
+        keys = ts.mix(keys ^ low[:, step : TREES * STEP : STEP])
+    return keys.view(np.int64)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch], key: str, text: str, n: int) -> Iterator[pa.RecordBatch]:
     factors = _factors()
-    for batch in ts.slices(batches, text, 2 << 20):
+    for batch in ts.slices(batches, text, 1 << 20):
         h, first = shingle_sets(batch.column(text), n)
         size = np.diff(first)
         some = np.flatnonzero(size)
@@ -89,25 +103,23 @@ def _sketch(batches: Iterator[pa.RecordBatch], key: str, text: str, n: int) -> I
         low = np.empty((len(some), SLOTS), np.uint64)
         for k in range(SLOTS if len(some) else 0):
             low[:, k] = np.minimum.reduceat(h * factors[k], at)
-        roots = TREES * BRANCHES
-        keys = ts.mix(low[:, :roots] + np.arange(roots, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
         signature = (ts.mix(low) & np.uint64(0xFF)).astype(np.uint8)
         a, b = _fingerprints(h, at) if len(some) else (np.zeros(0, np.int64),) * 2
-        where = np.full(batch.num_rows, -1)
-        where[some] = np.arange(len(some))
-        pick = lambda values, kind: pa.array([values[i] if i >= 0 else None for i in where.tolist()], kind)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(key), pa.array(size, pa.int64()), pick(a.tolist(), pa.int64()), pick(b.tolist(), pa.int64()), pick(keys.tolist(), pa.list_(pa.int64())), pick([x.tobytes() for x in signature], pa.binary())],
-            names=["key", "n", "a", "b", "keys", "sig"],
-        )
+        place = np.full(batch.num_rows, -1)
+        place[some] = np.arange(len(some))
+        place = pa.array(place, mask=place < 0)
+        rooted = pa.FixedSizeListArray.from_arrays(pa.array(_roots(low).ravel()), TREES).cast(pa.list_(pa.int64()))
+        signed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SLOTS), len(some), [None, pa.py_buffer(signature.tobytes())]).cast(pa.binary())
+        columns = [batch.column(key), pa.array(size, pa.int64()), *(pa.array(x, pa.int64()).take(place) for x in (a, b)), rooted.take(place), signed.take(place)]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "a", "b", "keys", "sig"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], key: str, text: str, n: int, bits) -> Iterator[pa.RecordBatch]:
     """Full sets of the documents whose id passes the filter."""
     for batch in batches:
-        hit = bits.value[batch.column("__bit").to_numpy(zero_copy_only=False)]
-        batch = batch.filter(pa.array(hit))
-        for part in ts.slices(iter([batch]), text):
+        bit = batch.column("__bit").to_numpy(zero_copy_only=False)
+        batch = batch.filter(pa.array((bits.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1))
+        for part in ts.slices(iter([batch]), text, 1 << 20):
             h, first = shingle_sets(part.column(text), n)
             some = np.flatnonzero(np.diff(first))
             if len(some):
@@ -115,91 +127,99 @@ def _sets(batches: Iterator[pa.RecordBatch], key: str, text: str, n: int, bits)
                 yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(some)), pa.array(a), pa.array(b), pa.array([h[first[i] : first[i + 1]].tobytes() for i in some.tolist()], pa.binary())], names=["key", "a", "b", "items"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ok = []
-        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                ok.append(False)
-                continue
-            at = np.searchsorted(y, x)
-            both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-            ok.append(100 * both >= percent * (len(x) + len(y) - both))
-        yield batch.select(["p", "q"]).filter(pa.array(ok, pa.bool_()))
-
-
-def _alike(x: np.ndarray, y: np.ndarray, least: int) -> np.ndarray:
-    return (x == y).sum(1) >= least
-
-
-def _compare(batches: Iterator[pa.RecordBatch], least: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components with like signatures in each node; rows come sorted by node, about 2 * NODE to one at most."""
+def _whole_nodes(batches: Iterator[pa.RecordBatch], least: int, by: str = "node") -> Iterator[pa.Table]:
+    """Tables of at least `least` rows, the last one aside, that never part a node; rows come sorted by node."""
     kept: pa.Table | None = None
-
-    def pairs(table: pa.Table) -> pa.RecordBatch:
-        node = table["node"].to_numpy()
-        rep, comp, side, n = (table[c].to_numpy() for c in ("rep", "comp", "side", "n"))
-        data, _ = ts.flat(table["sig"])
-        sig = data.reshape(-1, SLOTS)
-        p, q = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for d in range(1, len(node)):
-            at = np.flatnonzero(node[d:] == node[:-d])
-            if not len(at):
-                break
-            at = at[(comp[at] != comp[at + d]) & ((side[at] < 0) | (side[at] != side[at + d])) & (100 * np.minimum(n[at], n[at + d]) >= percent * np.maximum(n[at], n[at + d]))]
-            for i in range(0, len(at), 65536):
-                some = at[i : i + 65536]
-                ok = some[_alike(sig[some], sig[some + d], least)]
-                p.append(np.minimum(rep[ok], rep[ok + d]))
-                q.append(np.maximum(rep[ok], rep[ok + d]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)), pa.array(np.concatenate(q))], names=["p", "q"])
-
     for batch in batches:
         if not batch.num_rows:
             continue
         now = pa.Table.from_batches([batch])
-        kept = now if kept is None else pa.concat_tables([kept, now]).combine_chunks()
-        if kept.num_rows >= 4096:
-            node = kept["node"].to_numpy()
-            whole = int(np.searchsorted((node != node[-1]).astype(np.int8)[::-1], 1)) if node[0] != node[-1] else len(node)
-            cut = len(node) - whole
-            if cut:
-                yield pairs(kept.slice(0, cut).combine_chunks())
-                kept = kept.slice(cut).combine_chunks()
+        kept = now if kept is None else pa.concat_tables([kept, now])
+        if kept.num_rows >= least:
+            node = kept[by].to_numpy()
+            other = np.flatnonzero(node != node[-1])
+            if len(other):
+                yield kept.slice(0, int(other[-1]) + 1).combine_chunks()
+                kept = kept.slice(int(other[-1]) + 1).combine_chunks()
     if kept is not None:
-        yield pairs(kept.combine_chunks())
+        yield kept.combine_chunks()
+
+
+def _alike(table: pa.Table, least: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows i, j of one node and different components whose signatures agree in `least` slots, and in how many."""
+    node, comp, n = (table[c].to_numpy() for c in ("node", "comp", "n"))
+    sig = ts.flat(table["sig"])[0].reshape(-1, SLOTS)
+    out = [(np.zeros(0, np.int64),) * 3]
+    for d in range(1, len(node)):
+        at = np.flatnonzero(node[d:] == node[:-d])
+        if not len(at):
+            break
+        at = at[(comp[at] != comp[at + d]) & (100 * np.minimum(n[at], n[at + d]) >= percent * np.maximum(n[at], n[at + d]))]
+        for i in range(0, len(at), 16384):
+            some = at[i : i + 16384]
+            same = (sig[some] == sig[some + d]).sum(1)
+            ok = same >= least
+            out.append((some[ok], some[ok] + d, same[ok]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _likely(batches: Iterator[pa.RecordBatch], least: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """The members that are like one of another component in their node."""
+    for table in _whole_nodes(batches, 4096):
+        i, j, _ = _alike(table, least, percent)
+        some = pa.array(np.unique(np.concatenate([i, j])))
+        yield from table.select(["node", "rep", "comp"]).take(some).combine_chunks().to_batches()
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two ordered sets share."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int((y[at] == x).sum())
+
+
+def _confirm(batches: Iterator[pa.RecordBatch], least: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Links, confirmed on full sets, that connect what can be connected in each node."""
+    for table in _whole_nodes(batches, 256):
+        i, j, same = _alike(table, least, percent)
+        order = np.argsort(-same, kind="stable")
+        node, comp, rep = (table[c].to_numpy() for c in ("node", "comp", "rep"))
+        items = table["items"].combine_chunks()
+        root: dict[tuple[int, int], tuple[int, int]] = {}
+
+        def top(x: tuple[int, int], root=root) -> tuple[int, int]:
+            while (up := root.get(x, x)) != x:
+                root[x] = x = root.get(up, up)
+            return x
+
+        p, q = [], []
+        for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
+            own, other = top((node[a], comp[a])), top((node[b], comp[b]))
+            if own == other:
+                continue
+            x, y = (np.frombuffer(items[k].as_buffer(), np.uint64) for k in (a, b))
+            both = _common(x, y)
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                root[max(own, other)] = min(own, other)
+                p.append(rep[a])
+                q.append(rep[b])
+        yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(q, pa.int64())], names=["p", "q"])
 
 
 def _medoids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each (node, block) of sorted rows, the member most like the commonest value of every slot."""
-    kept: pa.Table | None = None
-
-    def best(table: pa.Table) -> pa.RecordBatch:
-        node, block, rep = (table[c].to_numpy() for c in ("node", "block", "rep"))
+    """For each chunk of sorted rows, the member most like the commonest value of every slot."""
+    for table in _whole_nodes(batches, 256, "chunk"):
+        chunk, node, rep = (table[c].to_numpy() for c in ("chunk", "node", "rep"))
         sig = ts.flat(table["sig"])[0].reshape(-1, SLOTS)
-        new = np.ones(len(node), bool)
-        new[1:] = (node[1:] != node[:-1]) | (block[1:] != block[:-1])
-        begin = np.flatnonzero(new)
+        begin = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1]))
         out = []
-        for a, b in zip(begin, np.append(begin[1:], len(node)), strict=True):
+        for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(chunk)], strict=True):
             votes = np.bincount((sig[a:b] + np.arange(SLOTS) * 256).ravel(), minlength=256 * SLOTS).reshape(SLOTS, 256)
             alike = (sig[a:b] == votes.argmax(1)).sum(1)
             out.append((node[a], rep[a + int(alike.argmax())], int(alike.max())))
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["node", "rep", "alike"])
-
-    for batch in batches:
-        if batch.num_rows:
-            now = pa.Table.from_batches([batch])
-            kept = now if kept is None else pa.concat_tables([kept, now])
-            node, block = kept["node"].to_numpy(), kept["block"].to_numpy()
-            other = np.flatnonzero((node != node[-1]) | (block != block[-1]))
-            cut = int(other[-1]) + 1 if len(other) else 0
-            if cut and kept.num_rows >= 4096:
-                yield best(kept.slice(0, cut).combine_chunks())
-                kept = kept.slice(cut).combine_chunks()
-    if kept is not None:
-        yield best(kept.combine_chunks())
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["node", "rep", "alike"])
 
 
 class _Join:
@@ -208,129 +228,103 @@ class _Join:
         self.scratch = Scratch(docs.sparkSession, "minhash")
         self.least = int(np.floor(SLOTS * (percent / 100 - 4 * (percent / 100 * (1 - percent / 100) / SLOTS) ** 0.5)))
 
-    def sketch(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def sketch(self) -> tuple[DataFrame, DataFrame]:
+        """All rows, and one representative of each set with its signature and roots."""
         kind = dict(self.docs.dtypes)[self.key]
         sketched = self.docs.select(self.key, self.text).mapInArrow(partial(_sketch, key=self.key, text=self.text, n=self.n), f"key {kind}, n bigint, a bigint, b bigint, keys array<bigint>, sig binary")
-        rows = self.scratch.cut(sketched.withColumn("node", F.monotonically_increasing_id()), "rows")
-        groups = self.scratch.cut(rows.where("n > 0 and key is not null").groupBy("a", "b", "n").agg(F.min("node").alias("rep"), F.min("key").alias("low")), "groups")
-        reps = self.scratch.cut(rows.join(groups.select("rep"), F.col("node") == F.col("rep"), "left_semi").select(F.col("node").alias("rep"), "key", "n", "a", "b", "keys", "sig"), "reps")
-        return rows, groups, reps
-
-    def confirmed(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
-        """The pairs (p, q) of representatives whose full sets are alike enough."""
-        pairs = self.scratch.cut(pairs.select("p", "q").distinct(), "candidates")
-        needed = self.scratch.cut(reps.select("rep", "key", "a", "b").join(pairs.select(F.explode(F.array("p", "q")).alias("rep")).distinct(), "rep", "left_semi"), "needed")
-        bit = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
-        maps = needed.groupBy(F.bitmap_bucket_number(bit).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
-        bits = np.zeros(FILTER_BITS + 1, bool)
+        rows = self.scratch.cut(sketched.withColumn("row", F.monotonically_increasing_id()), "rows")
+        least = F.min_by(F.struct("row", "keys", "sig"), "key").alias("one")
+        reps = rows.where("n > 0 and key is not null").groupBy("a", "b", "n").agg(F.min("key").alias("key"), least)
+        return rows, self.scratch.cut(reps.select("one.*", "key", "a", "b", "n").withColumnRenamed("row", "rep"), "reps")
+
+    def members(self, reps: DataFrame) -> DataFrame:
+        """(tree, node, rep, n, size, items) of the root nodes with several members."""
+        member = reps.select("rep", "n", F.posexplode("keys").alias("tree", "node"))
+        nodes = member.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("items")).where("size > 1")
+        return self.scratch.cut(member.join(nodes, "node"), "members")
+
+    def sets(self, members: DataFrame, reps: DataFrame) -> DataFrame:
+        """(rep, n, sig, items) of all that share a node: one pass over the texts."""
+        needed = self.scratch.cut(reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "key", "a", "b", "n", "sig"), "needed")
+        size = max(1 << 16, min(MAX_FILTER_BITS, 1 << (16 * needed.count()).bit_length()))
+        bit = F.pmod(F.xxhash64("key"), F.lit(size))
+        maps = needed.groupBy(F.bitmap_bucket_number(bit).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).toLocalIterator()
+        bits = np.zeros(size + 1, np.uint8)
         for row in maps:
             # Bucket 1 has bits 1 to 32768, and so on; bit 0 is in bucket 0.
             found = np.unpackbits(np.frombuffer(bytes(row["bits"]), np.uint8), bitorder="little")
             begin = (row["at"] - 1) * len(found) + 1 if row["at"] > 0 else 0
-            bits[begin : begin + len(found)] |= found[: len(bits) - begin].astype(bool)
-        known = self.docs.sparkSession.sparkContext.broadcast(bits)
+            bits[begin : begin + len(found)] |= found[: len(bits) - begin]
+        known = self.docs.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
         source = self.docs.select(F.col(self.key).alias("key"), F.col(self.text).alias("text")).withColumn("__bit", bit).where("key is not null")
         full = source.mapInArrow(partial(_sets, key="key", text="text", n=self.n, bits=known), f"key {dict(reps.dtypes)['key']}, a bigint, b bigint, items binary")
-        sets = self.scratch.cut(full.join(needed, ["key", "a", "b"]).select("rep", "items"), "sets")
-        one = pairs.join(sets.select(F.col("rep").alias("p"), F.col("items").alias("x")), "p")
-        both = one.join(sets.select(F.col("rep").alias("q"), F.col("items").alias("y")), "q").select("p", "q", "x", "y")
-        out = self.scratch.cut(both.mapInArrow(partial(_confirm, percent=self.percent), "p bigint, q bigint").distinct(), "links")
-        for table in (sets, needed, pairs):
-            self.scratch.drop(table)
-        return out
-
-    def _near(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
-        """Each p's most alike q by signature, if alike enough."""
-        signed = pairs.join(reps.select(F.col("rep").alias("p"), F.col("sig").alias("x")), "p").join(reps.select(F.col("rep").alias("q"), F.col("sig").alias("y")), "q").select("p", "q", "x", "y")
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x, y = (ts.flat(batch.column(c))[0].reshape(-1, SLOTS) for c in "xy")
-                yield pa.RecordBatch.from_arrays([batch.column("p"), batch.column("q"), pa.array((x == y).sum(1), pa.int64())], names=["p", "q", "same"])
-
-        scored = signed.mapInArrow(score, "p bigint, q bigint, same bigint").where(F.col("same") >= self.least)
-        return scored.groupBy("p").agg(F.max_by("q", F.struct("same", "q")).alias("q"))
-
-    def links(self, reps: DataFrame) -> DataFrame:
-        cut = self.scratch.cut
-        # Sets whose sizes can reach the threshold are in one class or in neighbours; each goes to its own class and to the next.
-        size_class = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / self.percent + 0.01)))
-        classed = F.flatten(F.transform("keys", lambda k: F.array(F.xxhash64(k, size_class), F.xxhash64(k, size_class + 1))))
-        member = reps.select("rep", F.explode(classed).alias("node"))
-        pivots = F.min("rep").alias("p1"), F.max("rep").alias("p2"), F.min_by("rep", F.xxhash64("rep")).alias("p3")
-        nodes = cut(member.groupBy("node").agg(F.count("*").alias("size"), *pivots).where("size > 1"), "nodes")
-        members = cut(member.join(nodes, "node"), "members")
-        pairs = cut(members.select(F.col("rep").alias("p"), F.explode(F.array("p1", "p2", "p3")).alias("q")).where("p <> q").distinct(), "pivots")
-        found = self.confirmed(self._near(pairs, reps), reps)
-        self.scratch.drop(pairs)
-        return found.unionByName(self._rest(members.select("node", "rep"), found, reps))
-
-    def _mixed(self, members: DataFrame, roots: DataFrame) -> DataFrame:
-        """(node, rep, comp, size) of nodes with several components."""
-        cut = self.scratch.cut
-        labelled = cut(members.join(roots, members["rep"] == roots["of"], "left").select("node", "rep", F.coalesce("root", "rep").alias("comp")), "labelled")
-        mixed = cut(labelled.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("node", "size"), "mixed")
-        out = cut(labelled.join(mixed, "node"), "open")
-        for table in (labelled, mixed):
-            self.scratch.drop(table)
-        return out
-
-    def _roots(self, found: DataFrame) -> DataFrame:
-        return self.scratch.cut(components(found, self.scratch, "p", "q").select(F.col("node").alias("of"), "root"), "roots")
-
-    def _by_medoid(self, large: DataFrame, reps: DataFrame) -> DataFrame:
-        """Links between members of large nodes and their node's medoid."""
-        blocks = F.pmod(F.xxhash64("rep", F.lit(9)), F.ceil(F.col("size") / NODE)).cast("int")
-        signed = large.select("node", "rep", blocks.alias("block")).join(reps.select("rep", "sig"), "rep").repartition("node", "block").sortWithinPartitions("node", "block", "rep")
-        found = signed.select("node", "block", "rep", "sig").mapInArrow(_medoids, "node bigint, rep bigint, alike bigint")
-        medoid = self.scratch.cut(found.groupBy("node").agg(F.max_by("rep", F.struct("alike", "rep")).alias("q")), "medoids")
-        pairs = self.scratch.cut(large.select("node", F.col("rep").alias("p")).join(medoid, "node").where("p <> q").select("p", "q").distinct(), "to-medoids")
-        return self.confirmed(self._near(pairs, reps), reps)
-
-    def _rest(self, members: DataFrame, found: DataFrame, reps: DataFrame) -> DataFrame:
+        # A document that occurs twice under one id has one set.
+        once = full.join(needed, ["key", "a", "b"]).select("rep", "n", "sig", "items").dropDuplicates(["rep"])
+        return self.scratch.cut(once, "sets")
+
+    def linked(self, placed: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links (p, q) that connect the members of small nodes, given (node, rep, comp)."""
+        options = {"least": self.least, "percent": self.percent}
+        signed = placed.join(sets.select("rep", "n", "sig"), "rep").repartition("node").sortWithinPartitions("node", "rep")
+        likely = self.scratch.cut(signed.mapInArrow(partial(_likely, **options), "node bigint, rep bigint, comp bigint"), "likely")
+        full = likely.join(sets, "rep").repartition("node").sortWithinPartitions("node", "rep")
+        links = self.scratch.cut(full.mapInArrow(partial(_confirm, **options), "p bigint, q bigint"), "links")
+        self.scratch.drop(likely)
+        return links
+
+    def _parts(self):
+        """Into how many chunks a node goes, so that chunks have at most about `NODE` members and `ITEMS` shingles."""
+        return F.when(F.col("size") > 2, F.greatest(F.ceil(F.col("size") / NODE), F.ceil(F.col("items") / ITEMS))).otherwise(1)
+
+    def first(self, members: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links within the root nodes of the first trees, or within their chunks and with their medoids."""
+        dealt = members.where(F.col("tree") < FIRST).withColumn("parts", self._parts())
+        chunk = F.xxhash64("node", F.pmod(F.xxhash64("rep", F.lit(9)), F.col("parts")))
+        dealt = dealt.withColumn("chunk", F.when(F.col("parts") > 1, chunk).otherwise(F.col("node")))
+        large = self.scratch.cut(dealt.where("parts > 1").select("node", "chunk", "rep"), "large")
+        placed = dealt.select(F.col("chunk").alias("node"), "rep", F.col("rep").alias("comp"))
+        if not large.isEmpty():
+            signed = large.join(sets.select("rep", "sig"), "rep").repartition("chunk").sortWithinPartitions("chunk", "rep")
+            found = signed.select("node", "chunk", "rep", "sig").mapInArrow(_medoids, "node bigint, rep bigint, alike bigint")
+            medoid = self.scratch.cut(found.groupBy("node").agg(F.max_by("rep", F.struct("alike", "rep")).alias("rep")), "medoids")
+            guests = large.select("node", "chunk").distinct().join(medoid, "node").select(F.col("chunk").alias("node"), "rep", F.col("rep").alias("comp"))
+            placed = placed.unionByName(guests)
+        return self.linked(placed, sets)
+
+    def second(self, members: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links within the nodes of all trees, branched until they're small, that aren't one component yet."""
         cut = self.scratch.cut
-        roots, signatures, more, candidates = self._roots(found), reps.select("rep", "n", "sig"), None, None
-        level = self._mixed(members, roots)
-        for depth in range(LEVELS + 1):
-            large = level.where(F.col("size") > NODE)
-            if not large.isEmpty():
-                gained = self._by_medoid(large, reps)
-                more = gained if more is None else more.unionByName(gained)
-                roots = self._roots(found.unionByName(more))
-                level = self._mixed(level.select("node", "rep"), roots)
-                large = level.where(F.col("size") > NODE)
-            small = level.where(F.col("size") <= NODE).withColumn("side", F.lit(-1))
-            if depth == LEVELS:
-                # Blocks of about NODE rows; a group for each pair of blocks compares across the two, or within one.
-                parts = F.ceil(F.col("size") / NODE).cast("int")
-                dealt = large.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("parts")).cast("int"))
-                other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-                low, high = F.least("block", "other"), F.greatest("block", "other")
-                blocks = other.select(F.xxhash64("node", low, high).alias("node"), "rep", "comp", "size", F.when(low == high, F.lit(-1)).otherwise(F.col("block")).alias("side"))
-                small, large = small.unionByName(blocks), None
-            ready = small.join(signatures, "rep").select("node", "rep", "comp", "side", "n", "sig").repartition("node").sortWithinPartitions("node", "rep")
-            got = cut(ready.mapInArrow(partial(_compare, least=self.least, percent=self.percent), "p bigint, q bigint").distinct(), "found")
-            candidates = got if candidates is None else candidates.unionByName(got)
-            if large is None or large.isEmpty():
+        roots = components(links, self.scratch, "p", "q").select(F.col("node").alias("of"), "root")
+        level = cut(members.join(roots, members["rep"] == roots["of"], "left").select("node", "rep", "n", F.coalesce("root", "rep").alias("comp")), "labelled")
+        leaves = None
+        for _ in range(DEPTH):
+            nodes = level.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("items"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("node", "size", "items")
+            mixed = cut(level.join(nodes, "node").withColumn("parts", self._parts()), "mixed")
+            small = mixed.where(F.col("parts") == 1).select("node", "rep", "comp")
+            leaves = small if leaves is None else leaves.unionByName(small)
+            large = mixed.where(F.col("parts") > 1).select("node", "rep", "n", "comp")
+            if large.isEmpty():
                 break
-            places = [F.pmod(F.xxhash64("node", "fork", F.lit(depth * DEEPER + i)), F.lit(SLOTS)).cast("int") for i in range(DEEPER)]
-            deeper = large.select("node", "rep").join(signatures.select("rep", "sig"), "rep").withColumn("fork", F.explode(F.array(*(F.lit(i) for i in range(FORKS)))))
-            deeper = cut(deeper.select(F.xxhash64("node", "fork", *(F.substring("sig", p + 1, F.lit(1)) for p in places)).alias("node"), "rep"), "deeper")
-            old, level = level, self._mixed(deeper, roots)
-            self.scratch.drop(old)
-            self.scratch.drop(deeper)
-        last = self.confirmed(candidates, reps)
-        return last if more is None else last.unionByName(more)
+            places = [F.pmod(F.xxhash64("node", F.lit(i)), F.lit(SLOTS)).cast("int") for i in range(STEP)]
+            token = [F.substring("sig", p + 1, F.lit(1)) for p in places]
+            level = cut(large.join(sets.select("rep", "sig"), "rep").select(F.xxhash64("node", *token).alias("node"), "rep", "n", "comp"), "level")
+        else:
+            leaves = leaves.unionByName(large.select("node", "rep", "comp"))
+        return self.linked(leaves, sets)
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """key, n_shingles, component_id and kept of every row. percent: the least 100 * intersection / union of a link."""
     join = _Join(docs, key, text, shingle, percent)
-    rows, groups, reps = join.sketch()
-    links = join.scratch.cut(join.links(reps), "all-links")
+    rows, reps = join.sketch()
+    members = join.members(reps)
+    sets = join.sets(members, reps)
+    first = join.first(members, sets)
+    links = first.unionByName(join.second(members, first, sets))
+    join.scratch.drop(sets)
     roots = components(links, join.scratch, "p", "q").select(F.col("node").alias("rep"), "root")
-    placed = join.scratch.cut(groups.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "placed")
-    least = join.scratch.cut(placed.groupBy("root").agg(F.min("low").alias("component")), "least")
+    placed = join.scratch.cut(reps.select("rep", "key", "a", "b", "n").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "placed")
+    least = placed.groupBy("root").agg(F.min("key").alias("component"))
     found = join.scratch.cut(placed.join(least, "root").select("a", "b", "n", "component"), "components")
     component = F.when(F.col("key").isNotNull(), F.coalesce("component", "key"))
     return rows.select("key", "n", "a", "b").join(found, ["a", "b", "n"], "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))
