@@ -243,9 +243,12 @@ class _Join:
         nodes = member.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("items")).where("size > 1")
         return self.scratch.cut(member.join(nodes, "node"), "members")
 
-    def sets(self, members: DataFrame, reps: DataFrame) -> DataFrame:
-        """(rep, n, sig, items) of all that share a node: one pass over the texts."""
-        needed = self.scratch.cut(reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "key", "a", "b", "n", "sig"), "needed")
+    def involved(self, members: DataFrame, reps: DataFrame) -> DataFrame:
+        """The representatives that share a node, with their signatures."""
+        return self.scratch.cut(reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "key", "a", "b", "n", "sig"), "involved")
+
+    def sets(self, needed: DataFrame) -> DataFrame:
+        """(rep, items) of representatives: one pass over the texts, of which only those whose id is sought are made into sets."""
         size = max(1 << 16, min(MAX_FILTER_BITS, 1 << (16 * needed.count()).bit_length()))
         bit = F.pmod(F.xxhash64("key"), F.lit(size))
         maps = needed.groupBy(F.bitmap_bucket_number(bit).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).toLocalIterator()
@@ -257,42 +260,42 @@ class _Join:
             bits[begin : begin + len(found)] |= found[: len(bits) - begin]
         known = self.docs.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
         source = self.docs.select(F.col(self.key).alias("key"), F.col(self.text).alias("text")).withColumn("__bit", bit).where("key is not null")
-        full = source.mapInArrow(partial(_sets, key="key", text="text", n=self.n, bits=known), f"key {dict(reps.dtypes)['key']}, a bigint, b bigint, items binary")
+        full = source.mapInArrow(partial(_sets, key="key", text="text", n=self.n, bits=known), f"key {dict(needed.dtypes)['key']}, a bigint, b bigint, items binary")
         # A document that occurs twice under one id has one set.
-        once = full.join(needed, ["key", "a", "b"]).select("rep", "n", "sig", "items").dropDuplicates(["rep"])
-        return self.scratch.cut(once, "sets")
-
-    def linked(self, placed: DataFrame, sets: DataFrame) -> DataFrame:
-        """Links (p, q) that connect the members of small nodes, given (node, rep, comp)."""
-        options = {"least": self.least, "percent": self.percent}
-        signed = placed.join(sets.select("rep", "n", "sig"), "rep").repartition("node").sortWithinPartitions("node", "rep")
-        likely = self.scratch.cut(signed.mapInArrow(partial(_likely, **options), "node bigint, rep bigint, comp bigint"), "likely")
-        full = likely.join(sets, "rep").repartition("node").sortWithinPartitions("node", "rep")
-        links = self.scratch.cut(full.mapInArrow(partial(_confirm, **options), "p bigint, q bigint"), "links")
-        self.scratch.drop(likely)
-        return links
+        once = full.groupBy("key", "a", "b").agg(F.first("items").alias("items"))
+        return self.scratch.cut(once.join(needed, ["key", "a", "b"]).select("rep", "items"), "sets")
+
+    def likely(self, placed: DataFrame, involved: DataFrame) -> DataFrame:
+        """Of (node, rep, comp) those whose signature is like one of another component in their node."""
+        signed = placed.join(involved.select("rep", "n", "sig"), "rep").repartition("node").sortWithinPartitions("node", "rep")
+        return self.scratch.cut(signed.mapInArrow(partial(_likely, least=self.least, percent=self.percent), "node bigint, rep bigint, comp bigint"), "likely")
+
+    def linked(self, likely: DataFrame, involved: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links (p, q) that connect the likely members of nodes, confirmed on full sets."""
+        full = likely.join(involved.select("rep", "n", "sig"), "rep").join(sets, "rep").repartition("node").sortWithinPartitions("node", "rep")
+        return self.scratch.cut(full.mapInArrow(partial(_confirm, least=self.least, percent=self.percent), "p bigint, q bigint"), "links")
 
     def _parts(self):
         """Into how many chunks a node goes, so that chunks have at most about `NODE` members and `ITEMS` shingles."""
         return F.when(F.col("size") > 2, F.greatest(F.ceil(F.col("size") / NODE), F.ceil(F.col("items") / ITEMS))).otherwise(1)
 
-    def first(self, members: DataFrame, sets: DataFrame) -> DataFrame:
-        """Links within the root nodes of the first trees, or within their chunks and with their medoids."""
+    def first(self, members: DataFrame, involved: DataFrame) -> DataFrame:
+        """Likely members of the root nodes of the first trees, or of their chunks, each with its node's medoid."""
         dealt = members.where(F.col("tree") < FIRST).withColumn("parts", self._parts())
         chunk = F.xxhash64("node", F.pmod(F.xxhash64("rep", F.lit(9)), F.col("parts")))
         dealt = dealt.withColumn("chunk", F.when(F.col("parts") > 1, chunk).otherwise(F.col("node")))
         large = self.scratch.cut(dealt.where("parts > 1").select("node", "chunk", "rep"), "large")
         placed = dealt.select(F.col("chunk").alias("node"), "rep", F.col("rep").alias("comp"))
         if not large.isEmpty():
-            signed = large.join(sets.select("rep", "sig"), "rep").repartition("chunk").sortWithinPartitions("chunk", "rep")
+            signed = large.join(involved.select("rep", "sig"), "rep").repartition("chunk").sortWithinPartitions("chunk", "rep")
             found = signed.select("node", "chunk", "rep", "sig").mapInArrow(_medoids, "node bigint, rep bigint, alike bigint")
             medoid = self.scratch.cut(found.groupBy("node").agg(F.max_by("rep", F.struct("alike", "rep")).alias("rep")), "medoids")
             guests = large.select("node", "chunk").distinct().join(medoid, "node").select(F.col("chunk").alias("node"), "rep", F.col("rep").alias("comp"))
             placed = placed.unionByName(guests)
-        return self.linked(placed, sets)
+        return self.likely(placed, involved)
 
-    def second(self, members: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
-        """Links within the nodes of all trees, branched until they're small, that aren't one component yet."""
+    def second(self, members: DataFrame, links: DataFrame, involved: DataFrame) -> DataFrame:
+        """Likely members of the nodes of all trees, branched until they're small, that aren't one component yet."""
         cut = self.scratch.cut
         roots = components(links, self.scratch, "p", "q").select(F.col("node").alias("of"), "root")
         level = cut(members.join(roots, members["rep"] == roots["of"], "left").select("node", "rep", "n", F.coalesce("root", "rep").alias("comp")), "labelled")
@@ -307,10 +310,10 @@ class _Join:
                 break
             places = [F.pmod(F.xxhash64("node", F.lit(i)), F.lit(SLOTS)).cast("int") for i in range(STEP)]
             token = [F.substring("sig", p + 1, F.lit(1)) for p in places]
-            level = cut(large.join(sets.select("rep", "sig"), "rep").select(F.xxhash64("node", *token).alias("node"), "rep", "n", "comp"), "level")
+            level = cut(large.join(involved.select("rep", "sig"), "rep").select(F.xxhash64("node", *token).alias("node"), "rep", "n", "comp"), "level")
         else:
             leaves = leaves.unionByName(large.select("node", "rep", "comp"))
-        return self.linked(leaves, sets)
+        return self.likely(leaves, involved)
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -318,10 +321,15 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     join = _Join(docs, key, text, shingle, percent)
     rows, reps = join.sketch()
     members = join.members(reps)
-    sets = join.sets(members, reps)
-    first = join.first(members, sets)
-    links = first.unionByName(join.second(members, first, sets))
-    join.scratch.drop(sets)
+    involved = join.involved(members, reps)
+    likely = join.first(members, involved)
+    sets = join.sets(involved.join(likely.select("rep").distinct(), "rep", "left_semi"))
+    links = join.linked(likely, involved, sets)
+    likely = join.second(members, links, involved)
+    more = join.sets(involved.join(likely.select("rep").distinct(), "rep", "left_semi").join(sets.select("rep"), "rep", "left_anti"))
+    links = links.unionByName(join.linked(likely, involved, sets.unionByName(more)))
+    for table in (sets, more):
+        join.scratch.drop(table)
     roots = components(links, join.scratch, "p", "q").select(F.col("node").alias("rep"), "root")
     placed = join.scratch.cut(reps.select("rep", "key", "a", "b", "n").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "placed")
     least = placed.groupBy("root").agg(F.min("key").alias("component"))
