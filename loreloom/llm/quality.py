@@ -50,6 +50,8 @@ PRIOR = 5.0
 #: A good document lost weighs as much as so many bad ones kept.
 CARE = 3
 TEMPERATURE = 1.0
+#: Bytes of text at a time; the arrays of a slice take about sixty times as much.
+SLICE = 1 << 20
 _SIZE, _PART = 2 * BUCKETS, 1 << 14
 
 
@@ -94,13 +96,13 @@ def _grams(w: ts.Words) -> tuple[np.ndarray, np.ndarray]:
     level = ts.mix(shaped[begin] + (64 + share).astype(np.uint64))
     half = np.uint64(BUCKETS)
     bucket = np.concatenate([w.hash % half, level % half, h2 % half + half]).astype(np.int64)
-    found = np.unique(np.concatenate([row, owner[begin], row[at]]) * _SIZE + bucket)
+    found = ts.distinct(np.concatenate([row, owner[begin], row[at]]) * _SIZE + bucket)
     return found % _SIZE, found // _SIZE
 
 
 def _count(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
-    for batch in ts.slices(batches, text):
+    for batch in ts.slices(batches, text, SLICE):
         w = ts.words(batch.column(text), ts.NON_SPACE)
         bucket, row = _grams(w)
         label = batch.column("__label").to_numpy(zero_copy_only=False)[row] if len(row) else np.zeros(0, np.int64)
@@ -146,7 +148,7 @@ def _weights(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
 
 
 def _score(batches: Iterator[pa.RecordBatch], text: str, weights, keep: bool = False) -> Iterator[pa.RecordBatch]:
-    for batch in ts.slices(batches, text):
+    for batch in ts.slices(batches, text, SLICE):
         bucket, row = _grams(ts.words(batch.column(text), ts.NON_SPACE))
         n = np.bincount(row, minlength=batch.num_rows)
         own = (batch.column("__label").to_numpy(zero_copy_only=False) == 1).astype(np.int64)
@@ -205,24 +207,32 @@ def _sample_key(key: str, temperature: float):
 
 
 class Resampler:
-    """Models of target and raw text, and the least sample key of the documents that stay."""
+    """Models of target and raw text, and the least sample key of the documents that stay.
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED, temperature: float = TEMPERATURE):
-        self.key, self.text, self.temperature = key, text, temperature
+    Two passes over the texts: one counts, one scores. With `carry` the second writes the documents
+    beside their scores, so that `kept` reads what was written instead of judging again.
+    """
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED, temperature: float = TEMPERATURE, carry: bool = False):
+        self.key, self.text, self.temperature, self.columns = key, text, temperature, docs.columns if carry else None
         scratch = Scratch(docs.sparkSession, "quality")
         usable = labels.where(F.col(key).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(key).alias("__id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
         known = usable.select("__id", F.when((F.col("q") == 1) & (F.col("t") == 0), F.lit(1)).otherwise(F.lit(2)).alias("__label"))
         self.sample = scratch.cut(known.orderBy(F.xxhash64("__id", F.lit(17))).limit(max_labelled), "labelled")
-        marked = self._marked(docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")), "__key")
-        counts = gram_counts(marked, "__text")
+        names = [f"__{i}" for i in range(len(docs.columns))] if carry else ["__key", "__text"]
+        renamed = docs.toDF(*names) if carry else docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+        self.names, self.at, at = names, *((names[docs.columns.index(c)] for c in (key, text)) if carry else names)
+        marked = self._marked(renamed, self.at)
+        counts = gram_counts(marked, at)
         none = np.zeros(_SIZE, np.int64)
         target = counts.get(1, none)
         self.weights = docs.sparkSession.sparkContext.broadcast(_weights(target, counts.get(0, none) + target + counts.get(2, none)))
-        scored = scratch.cut(marked.mapInArrow(partial(_score, text="__text", weights=self.weights), f"__key {dict(docs.dtypes)[key]}, __label int, n_grams bigint, mean double"), "scored")
-        seen = scored.where("__label > 0 and n_grams > 0").orderBy(F.xxhash64("__key", F.lit(23))).select("__label", "mean").limit(2 * max_labelled).toPandas()
+        kept = ", ".join(f"{n} {t}" for n, t in marked.dtypes if carry or n != at)
+        scored = scratch.cut(marked.mapInArrow(partial(_score, text=at, weights=self.weights, keep=carry), f"{kept}, n_grams bigint, mean double"), "scored")
+        seen = scored.where("__label > 0 and n_grams > 0").orderBy(F.xxhash64(self.at, F.lit(23))).select("__label", "mean").limit(2 * max_labelled).toPandas()
         cut = _threshold(seen["mean"][seen["__label"] == 1].to_numpy(), seen["mean"][seen["__label"] == 2].to_numpy())
         self.cut = cut if np.isfinite(cut) else 0.0
-        self.scored = self._keyed(scored, "__key")
+        self.scored = self._keyed(scored, self.at)
         self.k = self.scored.where("ratio > 0" if np.isfinite(cut) else "n_grams > 0").count()
         self.least = kth_largest(self.scored, "sample_key", self.k)
 
@@ -239,19 +249,23 @@ class Resampler:
 
     def judged(self) -> DataFrame:
         """key, n_grams, ratio (log importance above the threshold), sample_key (ratio plus Gumbel noise) and selected of every row."""
-        return self.scored.select(F.col("__key").alias(self.key), "n_grams", "ratio", "sample_key", self._selected().alias("selected"))
+        return self.scored.select(F.col(self.at).alias(self.key), "n_grams", "ratio", "sample_key", self._selected().alias("selected"))
 
     def filter(self, docs: DataFrame) -> DataFrame:
-        """The rows of docs that are selected, with their columns; texts are judged where they lie, without a shuffle."""
+        """The rows of any docs that the fitted models select, with their columns; texts are judged where they lie, without a shuffle."""
         names = [f"__{i}" for i in range(len(docs.columns))]
-        renamed = docs.toDF(*names)
-        at = names[docs.columns.index(self.text)]
-        key = names[docs.columns.index(self.key)]
-        marked = self._marked(renamed, key)
+        key, at = (names[docs.columns.index(c)] for c in (self.key, self.text))
+        marked = self._marked(docs.toDF(*names), key)
         types = ", ".join(f"{n} {t}" for n, t in marked.dtypes)
         scored = marked.mapInArrow(partial(_score, text=at, weights=self.weights, keep=True), f"{types}, n_grams bigint, mean double")
         return self._keyed(scored, key).where(self._selected()).select(*names).toDF(*docs.columns)
 
+    def kept(self) -> DataFrame:
+        """The fitted rows that are selected, with all their columns; it takes `carry`."""
+        if self.columns is None:
+            raise ValueError("kept() needs carry=True")
+        return self.scored.where(self._selected()).select(*self.names).toDF(*self.columns)
+
 
 def resample(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Resampler.judged of docs."""

@@ -63,6 +63,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order, by sorting x in place; faster than numpy's own, which hashes."""
+    x.sort()
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return x[new]
+
+
 _powers = np.ones(1, np.uint64)
 
 

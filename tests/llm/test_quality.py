@@ -63,3 +63,11 @@ def test_length_alone_moves_nothing(spark):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id bigint, quality int, toxic int")
     for r in Resampler(docs, labels).judged().where("doc_id >= 200").collect():
         assert (r["ratio"] > 0) == (r["doc_id"] % 2 == 1), r
+
+
+def test_carried_rows_are_those_that_filter_keeps(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.withColumnRenamed("lang", "n_grams").withColumnRenamed("source", "__0")
+    fitted = Resampler(docs, labels, carry=True)
+    assert fitted.kept().columns == docs.columns
+    assert sorted(map(str, fitted.kept().collect())) == sorted(map(str, Resampler(docs, labels).filter(docs).collect()))
