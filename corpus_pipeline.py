@@ -19,7 +19,7 @@ from loreloom.llm.scratch import Scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return Resampler(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter(docs)
+    return Resampler(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=True).kept()
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
