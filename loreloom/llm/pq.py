@@ -4,26 +4,34 @@ A coarse quantiser deals unit vectors to inverted lists; what is left of a vecto
 list's centre is coded in subspaces. For a query the distances to all codes of a subspace are
 tabled once, and the distance to a coded vector is a sum of look-ups (asymmetric distance).
 
-Nothing is lost, because the bounds are exact. A link of cosine c means a distance of at most
-r = sqrt(2 - 2c) between unit vectors. A query looks into every list that a vector within r of
-it can belong to (its distance to the plane between the two centres is at most r), and keeps
-every coded vector whose look-up distance is at most r plus that vector's own coding error.
-What is kept is compared by exact cosine in double precision.
-
-Vectors that are equal are one representative with a multiplicity. The lists of a label are
-dealt into chunks of about `CHUNK` vectors and so are the queries, whatever the sizes; a task
-compares two chunks, counts links for each vector and reports connections by one row a
-vector, never pair by pair.
+A link of cosine c means a distance of at most r = sqrt(2 - 2c) between unit vectors. A query
+looks into every list whose bordering plane to its own is near enough: a partner lies beyond the
+plane only if the part of their difference that is normal to it reaches that far. Of a difference
+in no special direction that part has the standard deviation r / sqrt(d); lists up to `REACH` of
+these are probed, and never more than r, beyond which there is nothing (up to d = 16 all that can hold
+a link). A pair is lost only if either side misses the other. In a list a query keeps every coded
+vector whose look-up distance is at most r plus that vector's own coding error, which loses nothing.
+
+Two passes keep the rows small. The first sends codes and errors of the entries to their list, and
+the query's vector to the lists that it probes; what comes back are the members of each group that
+have a candidate. Only for these the second sends vectors, and compares by exact cosine in double
+precision.
+
+Vectors that are equal are one representative with a multiplicity. There are about as many lists as
+the root of the vectors a label has. The lists of a label are dealt into chunks of about `CHUNK`
+vectors and so are the queries, whatever the sizes; a task compares two chunks, counts links for
+each vector and reports connections by one row a vector, never pair by pair.
 
 Centres and codes are fitted on `SAMPLE` vectors, taken in the order of a hash of their ids;
-every vector is coded. Broadcast are the centres and codes only, whose sizes are fixed.
+every vector is coded. Broadcast are the centres and codes only: at most `MAX_LISTS` centres.
 
 Vectors of different lengths link with nothing; each length is searched by itself, with a
 quantiser of its own.
 
 Defined cases: a null, zero or non-finite vector and a vector with a null label link with
-nothing; rows with the same id, label and vector
-count once; rows with a null id link with nothing and have a null component.
+nothing; every row is a vector of its own, repeated ones too; rows with a null id link with nothing
+and have a null component; ties don't arise, since the least id names a component; an empty
+table gives no rows. Only key, vector and label are read, so other names may clash with results.
 """
 
 from __future__ import annotations
@@ -41,9 +49,10 @@ from loreloom.llm.scratch import Scratch
 
 SAMPLE = 20_000
 SUBSPACES, CODES = 8, 64
-LISTS = 32
-CHUNK = 512
-_SLACK = 1e-6
+MIN_LISTS, MAX_LISTS = 16, 4096
+REACH = 4.0
+CHUNK = 2048
+_SLACK = 1e-4
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -80,11 +89,11 @@ class Quantiser:
         return own, codes.astype(np.uint8), np.sqrt(error)
 
     def probes(self, unit: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """For each vector, which lists can hold a vector within the radius."""
+        """For each vector, which lists may hold a vector within the radius."""
         d2 = (self.centres**2).sum(1) - 2 * unit @ self.centres.T
         lead = d2 - d2[np.arange(len(unit)), own][:, None]
         plane = lead / np.maximum(2 * self.apart[own], 1e-30)
-        return (plane <= self.radius) | (np.arange(len(self.centres)) == own[:, None])
+        return (plane <= self.radius * min(1.0, REACH / self.centres.shape[1] ** 0.5)) | (np.arange(len(self.centres)) == own[:, None])
 
     def near(self, queries: np.ndarray, at: int, codes: np.ndarray, error: np.ndarray) -> np.ndarray:
         """Whether each coded vector of list `at` may lie within the radius of each query."""
@@ -97,12 +106,17 @@ class Quantiser:
         return total <= (self.radius + error) ** 2
 
 
+def _units(column, width: int) -> np.ndarray:
+    x = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    x = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _code(batches: Iterator[pa.RecordBatch], quantiser, width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        x = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
-        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        unit = _units(batch.column("v"), width)
         own, codes, error = quantiser.value.encode(unit)
         probes = [np.flatnonzero(r).tolist() for r in quantiser.value.probes(unit, own)]
         yield pa.RecordBatch.from_arrays(
@@ -124,54 +138,80 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
-def _compare(table: pa.Table, quantiser, cosine: float, width: int) -> pa.Table:
-    """One group: queries of a chunk against a chunk of one list. A row a vector with links: their number and one to connect by."""
-    is_query = table["query"].to_numpy()
-    rep, times = table["rep"].to_numpy(), table["times"].to_numpy()
-    x = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+_BLOCK = 256
+_GROUP = ["label", "at", "chunk", "from_list", "from_chunk"]
+
+
+def _pairs(own: np.ndarray, rep: np.ndarray, q: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Which queries compare with which entries: a pair meets once, from the smaller list, and within a list from the smaller id."""
+    return (own[q][:, None] < own[e][None]) | ((own[q][:, None] == own[e][None]) & (rep[q][:, None] < rep[e][None]))
+
+
+def _candidates(table: pa.Table, quantiser, width: int) -> pa.Table:
+    """One group: queries of a chunk against the codes of a chunk of one list. The members that have a candidate."""
+    is_query, own, rep, error = (table[c].to_numpy() for c in ("query", "list", "rep", "error"))
     q, e = np.flatnonzero(is_query), np.flatnonzero(~is_query)
+    hit = np.zeros(table.num_rows, bool)
     if len(q) and len(e):
-        norm = np.linalg.norm(x, axis=1)
+        unit = _units(table["v"].take(pa.array(q)), width)
         codes = np.frombuffer(b"".join(table["codes"].take(pa.array(e)).to_pylist()), np.uint8).reshape(len(e), -1)
-        may = quantiser.value.near(x[q] / norm[q, None], table["at"][0].as_py(), codes, table["error"].to_numpy()[e])
-        # A pair is compared once: from the smaller list, and within a list from the smaller id.
-        own = table["list"].to_numpy()
-        may &= (own[q][:, None] < own[e][None]) | ((own[q][:, None] == own[e][None]) & (rep[q][:, None] < rep[e][None]))
-        i, j = np.nonzero(may)
-        if len(i):
-            i, j = q[i], e[j]
-            ok = np.concatenate([np.einsum("ij,ij->i", x[i[s : s + 65536]], x[j[s : s + 65536]]) / (norm[i[s : s + 65536]] * norm[j[s : s + 65536]]) >= cosine for s in range(0, len(i), 65536)])
-            i, j = i[ok], j[ok]
-            n = np.bincount(i, weights=times[j], minlength=len(rep)) + np.bincount(j, weights=times[i], minlength=len(rep))
-            root = _roots(len(rep), i, j)
-            some = np.flatnonzero(n)
-            return pa.table({"rep": rep[some], "links": n[some].astype(np.int64), "to": rep[root[some]]})
-    return pa.table({"rep": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "to": pa.array([], pa.int64())})
-
-
-def _known(usable: DataFrame, scratch: Scratch, width: int, cosine: float, lists: int, sample: int) -> DataFrame:
+        for i in range(0, len(q), _BLOCK):
+            some = q[i : i + _BLOCK]
+            may = quantiser.value.near(unit[i : i + _BLOCK], table["at"][0].as_py(), codes, error[e]) & _pairs(own, rep, some, e)
+            hit[some] |= may.any(1)
+            hit[e] |= may.any(0)
+    return table.select([*_GROUP, "rep", "query", "list", "times"]).filter(pa.array(hit))
+
+
+def _compare(table: pa.Table, cosine: float, width: int) -> pa.Table:
+    """One group: exact cosines. A row a vector with links: their number and one to connect by."""
+    is_query, own, rep, times = (table[c].to_numpy() for c in ("query", "list", "rep", "times"))
+    q, e = np.flatnonzero(is_query), np.flatnonzero(~is_query)
+    x = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+    norm = np.linalg.norm(x, axis=1)
+    unit = x / norm[:, None]
+    i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(0, len(q), _BLOCK):
+        some = q[k : k + _BLOCK]
+        a, b = np.nonzero((unit[some] @ unit[e].T >= cosine - 1e-9) & _pairs(own, rep, some, e))
+        a, b = some[a], e[b]
+        exact = np.concatenate([np.zeros(0, bool), *(np.einsum("ij,ij->i", x[a[s : s + 65536]], x[b[s : s + 65536]]) / (norm[a[s : s + 65536]] * norm[b[s : s + 65536]]) >= cosine for s in range(0, len(a), 65536))])
+        i.append(a[exact])
+        j.append(b[exact])
+    i, j = np.concatenate(i), np.concatenate(j)
+    n = np.bincount(i, weights=times[j], minlength=len(rep)) + np.bincount(j, weights=times[i], minlength=len(rep))
+    root = _roots(len(rep), i, j)
+    some = np.flatnonzero(n)
+    return pa.table({"rep": rep[some], "links": n[some].astype(np.int64), "to": rep[root[some]]})
+
+
+def _known(usable: DataFrame, scratch: Scratch, width: int, cosine: float, lists: int | None, sample: int) -> DataFrame:
     """label, v, n_links and component of the distinct vectors of one length."""
     spark = usable.sparkSession
     reps = scratch.cut(usable.groupBy("label", "v").agg(F.min("node").alias("rep"), F.min("key").alias("low"), F.count("*").alias("times")), "reps")
     learn = np.array([r[0] for r in reps.orderBy(F.xxhash64("low", F.lit(3))).limit(sample).select("v").collect()], np.float64)
+    if lists is None:
+        n, labels = reps.agg(F.count("*"), F.approx_count_distinct("label")).first()
+        lists = int(np.clip((n / max(1, labels)) ** 0.5, MIN_LISTS, MAX_LISTS))
     quantiser = spark.sparkContext.broadcast(Quantiser(learn / np.linalg.norm(learn, axis=1, keepdims=True), lists, cosine))
-    kind = dict(reps.dtypes)["label"]
-    coded = reps.select("rep", "label", "times", "v").mapInArrow(partial(_code, quantiser=quantiser, width=width), f"rep bigint, label {kind}, times bigint, v array<double>, list int, codes binary, error double, probes array<int>")
+    types = dict(reps.dtypes)
+    coded = reps.select("rep", "label", "times", "v").mapInArrow(partial(_code, quantiser=quantiser, width=width), f"rep bigint, label {types['label']}, times bigint, v {types['v']}, list int, codes binary, error double, probes array<int>")
     coded = scratch.cut(coded, "coded")
     chunks = scratch.cut(coded.groupBy("label", "list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "chunks")
-    deal = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), n).cast("int")
-    own = coded.join(chunks, ["label", "list"]).withColumn("chunk", deal(F.col("chunks"), 1)).withColumn("mine", F.col("chunks")).drop("chunks")
-    own = scratch.cut(own, "dealt")
+    own = scratch.cut(coded.join(chunks, ["label", "list"]).withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("chunks")).cast("int")).drop("chunks"), "dealt")
     # Queries meet the chunks of every list at or above their own that they probe; a group is (label, list, chunk, list and chunk of the queries).
     probing = own.select("rep", "label", "times", "v", "list", F.col("chunk").alias("from_chunk"), F.explode(F.filter("probes", lambda p: p >= F.col("list"))).alias("at"))
     target = chunks.select("label", F.col("list").alias("at"), "chunks")
-    queries = probing.join(target, ["label", "at"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("label", "at", "chunk", F.col("list").alias("from_list"), "from_chunk", "rep", "times", "v", "list", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("error"), F.lit(True).alias("query"))
-    asked = scratch.cut(queries.select("label", "at", "chunk", "from_list", "from_chunk").distinct(), "asked")
-    entries = own.select("label", F.col("list").alias("at"), "chunk", "rep", "times", "v", "list", "codes", "error").join(asked, ["label", "at", "chunk"]).withColumn("query", F.lit(False)).select(queries.columns)
-    group = ["label", "at", "chunk", "from_list", "from_chunk"]
-    compare = partial(_compare, quantiser=quantiser, cosine=cosine, width=width)
-    found = queries.unionByName(entries).groupBy(*group).applyInArrow(lambda t: compare(t), "rep bigint, links bigint, to bigint")
-    found = scratch.cut(found, "found")
+    nothing = lambda kind: F.lit(None).cast(kind)
+    queries = probing.join(target, ["label", "at"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    queries = queries.select("label", "at", "chunk", F.col("list").alias("from_list"), "from_chunk", "rep", "times", "list", "v", nothing("binary").alias("codes"), F.lit(0.0).alias("error"), F.lit(True).alias("query"))
+    asked = scratch.cut(queries.select(*_GROUP).distinct(), "asked")
+    entries = own.select("label", F.col("list").alias("at"), "chunk", "rep", "times", "list", nothing(types["v"]).alias("v"), "codes", "error").join(asked, ["label", "at", "chunk"]).withColumn("query", F.lit(False)).select(queries.columns)
+    kinds = dict(queries.dtypes)
+    likely = queries.unionByName(entries).groupBy(*_GROUP).applyInArrow(lambda t: _candidates(t, quantiser, width), ", ".join(f"{c} {kinds[c]}" for c in [*_GROUP, "rep", "query", "list", "times"]))
+    likely = scratch.cut(likely, "likely")
+    full = likely.join(reps.select("rep", "v"), "rep")
+    found = scratch.cut(full.groupBy(*_GROUP).applyInArrow(lambda t: _compare(t, cosine, width), "rep bigint, links bigint, to bigint"), "found")
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found, scratch, "rep", "to").select(F.col("node").alias("rep"), "root")
     placed = scratch.cut(reps.select("rep", "label", "v", "low", "times").join(roots, "rep", "left").join(counted, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "placed")
@@ -179,10 +219,11 @@ def _known(usable: DataFrame, scratch: Scratch, width: int, cosine: float, lists
     return scratch.cut(placed.join(least, "root").select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), "component"), "known")
 
 
-def near_duplicate_vectors(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = 0.98, lists: int = LISTS, sample: int = SAMPLE) -> DataFrame:
-    """key, n_links, component_id and kept, one row for each distinct (key, label, vector)."""
+def near_duplicate_vectors(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = 0.98, lists: int | None = None, sample: int = SAMPLE) -> DataFrame:
+    """key, n_links, component_id and kept, one row for each row. lists: their number, else as many as the vectors call for."""
     scratch = Scratch(vectors.sparkSession, "pq")
-    rows = vectors.select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v")).distinct()
+    kind = dict(vectors.dtypes)[vector]
+    rows = vectors.select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(vector).cast(kind if kind in ("array<float>", "array<double>") else "array<double>").alias("v"))
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0) & F.col("label").isNotNull() & F.col("key").isNotNull()
     rows = scratch.cut(rows.withColumn("sound", F.coalesce(sound, F.lit(False))).withColumn("node", F.monotonically_increasing_id()), "rows")
     usable = rows.where("sound")
