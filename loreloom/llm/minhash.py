@@ -95,7 +95,7 @@ def _roots(low: np.ndarray) -> np.ndarray:
 
 def _sketch(batches: Iterator[pa.RecordBatch], key: str, text: str, n: int) -> Iterator[pa.RecordBatch]:
     factors = _factors()
-    for batch in ts.slices(batches, text, 1 << 20):
+    for batch in ts.slices(batches, text):
         h, first = shingle_sets(batch.column(text), n)
         size = np.diff(first)
         some = np.flatnonzero(size)
@@ -119,7 +119,7 @@ def _sets(batches: Iterator[pa.RecordBatch], key: str, text: str, n: int, bits)
     for batch in batches:
         bit = batch.column("__bit").to_numpy(zero_copy_only=False)
         batch = batch.filter(pa.array((bits.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1))
-        for part in ts.slices(iter([batch]), text, 1 << 20):
+        for part in ts.slices(iter([batch]), text):
             h, first = shingle_sets(part.column(text), n)
             some = np.flatnonzero(np.diff(first))
             if len(some):
@@ -143,6 +143,7 @@ def _whole_nodes(batches: Iterator[pa.RecordBatch], least: int, by: str = "node"
                 kept = kept.slice(int(other[-1]) + 1).combine_chunks()
     if kept is not None:
         yield kept.combine_chunks()
+    pa.default_memory_pool().release_unused()
 
 
 def _alike(table: pa.Table, least: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _PIECE = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -43,8 +43,13 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Row slices of at most about `limit` bytes of text, one row at least."""
+    """Row slices of at most about `limit` bytes of text, one row at least.
+
+    What Arrow has freed goes back to the system after every batch, or workers that live on keep it.
+    """
+    pool = pa.default_memory_pool()
     for batch in batches:
+        pool.release_unused()
         if not batch.num_rows:
             continue
         _, off = flat(batch.column(column))
@@ -53,6 +58,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+        del batch
+    pool.release_unused()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
