@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,8 @@ from loreloom.llm import textscan as ts
 from loreloom.llm.scratch import Scratch
 
 WINDOW = 10
-MAX_WINDOWS = 1_000_000
+#: Of a pass; a worker holds about a kilobyte for each.
+MAX_WINDOWS = 200_000
 
 
 @dataclass
@@ -78,7 +80,7 @@ class WindowSet:
 
 
 def window_sets(benchmark: DataFrame, item: str, text: str, window: int, limit: int) -> Iterator[WindowSet]:
-    """Sets of at least `limit` windows, but for the last; the driver holds one of them and one row at a time."""
+    """Sets of at least `limit` windows, but for the last; the driver holds one or two of them and one row at a time."""
     rows, size = [], 0
     for name, words in benchmark.select(F.col(item).cast("string"), F.col(text)).where(F.col(text).isNotNull()).toLocalIterator():
         rows.append((name, words))
@@ -129,11 +131,13 @@ def _scan(known, text: str):
     return run
 
 
-def _by_row(numbered: DataFrame, first: WindowSet, rest: Iterator[WindowSet], text: str) -> DataFrame:
-    """Hits by __row for a benchmark of several sets: a pass for each, then the union of their spans."""
+def _by_row(numbered: DataFrame, sets: Iterator[WindowSet], scratch: Scratch, text: str) -> DataFrame:
+    """Hits by __row for a benchmark of several sets: a pass for each, written before the next set is made, then the union of their spans."""
     context, passes = numbered.sparkSession.sparkContext, None
-    for known in (first, *rest):
-        one = numbered.select("__row", text).mapInArrow(_scan(context.broadcast(known), text), f"__row bigint, {_HITS}")
+    for windows in sets:
+        known = context.broadcast(windows)
+        one = scratch.cut(numbered.select("__row", text).mapInArrow(_scan(known, text), f"__row bigint, {_HITS}"), "pass")
+        known.destroy()
         passes = one if passes is None else passes.unionByName(one)
     united = passes.groupBy("__row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"))
 
@@ -146,8 +150,9 @@ def _by_row(numbered: DataFrame, first: WindowSet, rest: Iterator[WindowSet], te
     return out.select("__row", "n_words", F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["last"] - x["first"]).alias("n_hit"), "items", "spans")
 
 
-def _numbered(docs: DataFrame, columns: list[str]) -> DataFrame:
-    return Scratch(docs.sparkSession, "decontaminate").cut(docs.select(*columns, F.monotonically_increasing_id().alias("__row")), "rows")
+def _numbered(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, Scratch]:
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    return scratch.cut(docs.select(*columns, F.monotonically_increasing_id().alias("__row")), "rows"), scratch
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
@@ -158,8 +163,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id"
     if second is None:
         known = docs.sparkSession.sparkContext.broadcast(first)
         return docs.select(key, text).mapInArrow(_scan(known, text), f"`{key}` {dict(docs.dtypes)[key]}, {_HITS}")
-    numbered = _numbered(docs, [key, text])
-    return numbered.select(key, "__row").join(_by_row(numbered, first, iter((second, *sets)), text), "__row").drop("__row")
+    numbered, scratch = _numbered(docs, [key, text])
+    return numbered.select(key, "__row").join(_by_row(numbered, chain((first, second), sets), scratch, text), "__row").drop("__row")
 
 
 def _cut_spans(batches: Iterator[pa.RecordBatch], text: str, spans: str, action: str) -> Iterator[pa.RecordBatch]:
@@ -194,8 +199,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, action: str = "docum
     first = next(sets)
     second = next(sets, None)
     if second is not None:
-        numbered = _numbered(docs, docs.columns)
-        hits = _by_row(numbered, first, iter((second, *sets)), text).select("__row", F.col("spans").alias("__spans"))
+        numbered, scratch = _numbered(docs, docs.columns)
+        hits = _by_row(numbered, chain((first, second), sets), scratch, text).select("__row", F.col("spans").alias("__spans"))
         joined = numbered.join(hits, "__row", "left").drop("__row")
         return joined.mapInArrow(lambda b: _cut_spans(b, text, "__spans", action), docs.schema)
     known = docs.sparkSession.sparkContext.broadcast(first)

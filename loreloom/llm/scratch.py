@@ -7,6 +7,7 @@ ran and nothing that was already written.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one where it is unset."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, a temporary one for a session in one process, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loreloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MAX_RULES = 500_000
 _SPLIT = re.compile(r"://([^/?#]*)([^?#]*)")
@@ -135,14 +136,13 @@ def judge_urls(pages: DataFrame, rules: Iterable[Rule], *, key: str = "page_id",
     return out.drop("__labels", "__path")
 
 
-def filter_urls(pages: DataFrame, rules: Iterable[Rule], *, url: str = "url", default: str = "allow") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: Iterable[Rule], *, url: str = "url", default: str = "allow", max_rules: int = MAX_RULES) -> DataFrame:
     """Rows of pages whose URL is allowed, with their columns as they were."""
-    trie = pages.sparkSession.sparkContext.broadcast(Trie(rules))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = _judge(trie, url, default, True)
-        for batch in batches:
-            verdict = next(judge(iter([batch.select([url])]))).column("verdict").to_pylist()
-            yield batch.filter(pa.array([v == "allow" for v in verdict], pa.bool_()))
-
-    return pages.mapInArrow(run, pages.schema)
+    names = [f"__{i}" for i in range(len(pages.columns))]
+    rules, out = list(rules), pages.toDF(*names)
+    schema = ", ".join([*(f"{n} {kind}" for n, kind in out.dtypes), "host string, path string, rule string, verdict string, __labels int, __path int"])
+    at_url = names[pages.columns.index(url)]
+    out = out.withColumn("__url", F.col(at_url))
+    for at in range(0, max(1, len(rules)), max_rules):
+        out = out.mapInArrow(_judge(pages.sparkSession.sparkContext.broadcast(Trie(rules[at : at + max_rules])), "__url", default, at == 0), schema)
+    return out.where("verdict = 'allow'").select(*names).toDF(*pages.columns)
