@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,9 +62,9 @@ def without_citations(x: Column | str) -> Column:
 
 
 def without_thoughts(x: Column | str) -> Column:
-    """A reply without its <think> part; an unopened part ends at the last closing tag."""
-    closed = F.regexp_replace(_c(x), r"(?is)<think>.*?</think>", "")
-    return F.regexp_replace(F.regexp_replace(closed, r"(?is)^.*</think>", ""), r"^\s+|\s+$", "")
+    """A reply without its <think> part; an unopened part ends at the first closing tag that is left."""
+    closed = F.regexp_replace(_c(x), r"(?s)<think>.*?</think>", "")
+    return F.regexp_replace(F.regexp_replace(closed, r"(?s)^.*?</think>", ""), r"^\s+|\s+$", "")
 
 
 def compound_aliases(x: Column | str) -> Column:
@@ -74,24 +77,43 @@ def compound_aliases(x: Column | str) -> Column:
 
 
 def slug(x: Column | str) -> Column:
-    lowered = F.regexp_replace(F.lower(F.btrim(_c(x))), r"[\s_]+", "-")
-    return F.regexp_replace(F.regexp_replace(lowered, r"[^\p{L}\p{N}./-]", "-"), "-{2,}", "-")
+    """A name as part of a path; text is taken to be in composed Unicode form."""
+    dashed = F.regexp_replace(F.regexp_replace(F.lower(_c(x)), r"(?U)[\s_]+", "-"), r"""[\\/:*?"<>|#]+""", "-")
+    return F.regexp_replace(F.regexp_replace(dashed, "-+", "-"), "^-|-$", "")
+
+
+def slug_text(x: str) -> str:
+    """The same for a Python string, which is composed first."""
+    dashed = re.sub(r"""[\s_]+|[\\/:*?"<>|#]+""", "-", unicodedata.normalize("NFC", x).lower())
+    return re.sub("^-|-$", "", re.sub("-+", "-", dashed))
 
 
 def yaml_scalar(x: Column | str) -> Column:
     """A scalar for front matter, quoted where plain text would read as something else."""
     c = _c(x)
-    quoted = F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
-    special = (c == "") | c.rlike(r"""[:#\[\]{}&*!|>'"%@`,\n]|^[\s?-]|\s$""") | c.rlike(r"^-?[0-9.]+$") | F.lower(c).isin("true", "false", "null", "yes", "no", "~")
-    return F.when(special, quoted).otherwise(c)
+    marked = F.replace(c, F.lit('"'), F.lit('\\"'))
+    escaped = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    between = lambda inner: F.concat(F.lit('"'), inner, F.lit('"'))
+    # What a reader would take for a number, a truth value or syntax.
+    literal = c.rlike(r"^[\d.+-]+$") | F.lower(c).isin("true", "false", "null", "yes", "no", "on", "off")
+    special = c.rlike(r"""[:#\-?{}\[\],&*!|>'"%@`]|^\s|\s$""")
+    return F.when(c == "", F.lit('""')).when(literal, between(marked)).when(special, between(escaped)).otherwise(c)
+
+
+def percent_decoded(x: Column | str) -> Column:
+    """Percent-decoded text in which a plus stays one; text that can't be decoded stays."""
+    c = _c(x)
+    return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
 
 
-def outbound_links(x: Column | str, most: int = 40) -> Column:
-    """Distinct targets of markdown links to pages of the bundle, in order, without the ending."""
-    return F.slice(F.array_distinct(F.regexp_extract_all(_c(x), F.lit(r"\]\(/([^)\s]+)\.md"), 1)), 1, most)
+def outbound_links(x: Column | str, own: Column | str | None = None, most: int = 40) -> Column:
+    """Distinct targets of markdown links to other pages of the bundle, in order, decoded and without the ending."""
+    found = F.array_distinct(F.transform(F.regexp_extract_all(_c(x), F.lit(r"\]\(/([^)\s#]+?)\.md"), 1), percent_decoded))
+    return F.slice(found if own is None else F.filter(found, lambda t: t != _c(own)), 1, most)
 
 
 def wants_route(x: Column | str) -> Column:
     """Whether a text asks for a way; word boundaries are ASCII ones, spelled out."""
+    # Cues of a question for a way.
     cue = r"weg|route|wegbeschreibung|wie\s+(?:komme|gelange|laufe)|how\s+(?:do|can|to)|get\s+(?:to|from)|way\s+(?:to|from)|directions?|von\s.*\s(?:nach|zu|zum|zur)|from\s.*\sto"
     return F.lower(_c(x)).rlike(rf"(?s)(^|[^a-z0-9_])(?:{cue})($|[^a-z0-9_])")

@@ -8,14 +8,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loreloom.functions.text import compound_aliases, normal
+from loreloom.functions.text import compound_aliases, normal, percent_decoded
 
 
 def redirects(pages: DataFrame) -> DataFrame:
-    """(concept_id, target): pages that redirect, by a cue in their first 120 characters and their first link."""
-    head = F.lower(F.substring("body", 1, 120))
-    cue = head.rlike(r"weiterleitung|redirect")
-    return pages.where(cue & (F.size("links") > 0)).select("concept_id", F.element_at("links", 1).alias("target"))
+    """(concept_id, target): pages that redirect, by a cue and a link that are both in their first 120 characters."""
+    head = F.substring("body", 1, 120)
+    goal = percent_decoded(F.regexp_extract(head, r"\]\(/([^)\s#]+?)\.md", 1))
+    return pages.where(head.rlike("(?i)weiterleitung|redirect")).select("concept_id", goal.alias("target")).where("target <> ''")
 
 
 def resolved(pages: DataFrame) -> DataFrame:
@@ -24,6 +24,27 @@ def resolved(pages: DataFrame) -> DataFrame:
     return pages.select("concept_id").join(goals, "concept_id", "left").select("concept_id", F.coalesce("target", "concept_id").alias("resolved"))
 
 
+def titles(pages: DataFrame) -> DataFrame:
+    """(title, concept_id): the page that each normalised title names.
+
+    A redirect names its target; of several pages with one title the last counts (`pos`, else the
+    id orders them). A redirect whose title is a natural compound of a category's name (see
+    compound_aliases) names that category's page instead, whose namespace is 14.
+    """
+    order = "pos" if "pos" in pages.columns else "concept_id"
+    named = pages.join(resolved(pages), "concept_id").select(normal("title").alias("title"), F.col("resolved").alias("concept_id"), F.col(order).alias("o"))
+    last = named.groupBy("title").agg(F.max_by("concept_id", "o").alias("concept_id"))
+    category = pages.where("namespace = 14").select(F.explode(compound_aliases(F.regexp_replace("title", "^[^:]+:", ""))).alias("form"), F.col("concept_id").alias("page"), F.col(order).alias("o"))
+    by_form = category.select(normal("form").alias("title"), "page", "o").groupBy("title").agg(F.max_by("page", "o").alias("page"))
+    moved = pages.join(redirects(pages).select("concept_id"), "concept_id", "left_semi").select(normal("title").alias("title")).distinct().join(by_form, "title")
+    return last.join(moved, "title", "left").select("title", F.coalesce("page", "concept_id").alias("concept_id"))
+
+
+def title_candidates(pages: DataFrame, shortest: int = 4) -> DataFrame:
+    """(title, concept_id) of titles long enough to look for in a question, the longest first."""
+    return titles(pages).where(F.length("title") >= shortest).orderBy(F.desc(F.length("title")), "title")
+
+
 def members(pages: DataFrame) -> DataFrame:
     """(category, concept_id) of every tag of every page."""
     return pages.select(F.explode("tags").alias("category"), "concept_id")

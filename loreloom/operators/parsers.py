@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loreloom.functions.text import slug_text
+
 
 def _table(df: DataFrame, key: str, text: str, parse: Callable[[object], list[tuple]], columns: str) -> DataFrame:
     """Rows of parse(text) for every row of df, with its key."""
@@ -28,15 +30,22 @@ def _table(df: DataFrame, key: str, text: str, parse: Callable[[object], list[tu
     return df.select(key, text).mapInPandas(run, f"`{key}` {dict(df.dtypes)[key]}, {columns}")
 
 
+def text_has_words(text: str):
+    return F.col(text).rlike(r"\S")
+
+
 def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pos, heading, text): parts below first and second level headings; empty ones are left out."""
+    """(key, pos, heading, text): parts below first and second level headings; empty ones are left out, unless there are no others."""
     lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("line", "value"))
     heading = F.col("value").rlike(r"^#{1,2}\s+")
     within = Window.partitionBy(key).orderBy("line")
     numbered = lines.withColumn("pos", F.sum(heading.cast("int")).over(within))
     rows = F.array_sort(F.collect_list(F.when(~heading, F.struct("line", "value"))))
     joined = numbered.groupBy(key, "pos").agg(F.coalesce(F.max(F.when(heading, F.btrim(F.regexp_replace("value", r"^#{1,2}\s+", "")))), F.lit("")).alias("heading"), F.array_join(F.transform(rows, lambda x: x["value"]), "\n").alias("text"))
-    return joined.select(key, "pos", "heading", F.regexp_replace("text", r"^\s+|\s+$", "").alias("text")).where("text <> ''")
+    parts = joined.select(key, "pos", "heading", F.regexp_replace("text", r"^\s+|\s+$", "").alias("text")).where("text <> ''")
+    # A page of headings only is one part, as it is.
+    whole = docs.where(text_has_words(text)).join(parts.select(key).distinct(), key, "left_anti")
+    return parts.unionByName(whole.select(key, F.lit(0).cast("bigint").alias("pos"), F.lit("").alias("heading"), F.regexp_replace(text, r"^\s+|\s+$", "").alias("text")))
 
 
 def with_header(title, heading, text):
@@ -142,11 +151,12 @@ def facts(docs: DataFrame, key: str, text: str, skip: tuple[str, ...] = (), most
 
 
 def link_parts(link: str) -> tuple[str | None, str | None, str]:
-    """(target, anchor, label) of the inside of a wiki link."""
-    goal, _, label = link.partition("|")
+    """(target, anchor, label) of the inside of a wiki link; category links keep their folder."""
+    goal, bar, label = link.partition("|")
     page, _, anchor = goal.partition("#")
-    page = re.sub(r"[\s_]+", "-", page.strip().lstrip(":").lower()).replace("kategorie:", "kategorie/")
-    return page or None, anchor.strip() or None, (label or goal).strip().lstrip(":")
+    category = re.match(r"(?i):?(?:Kategorie|Category):(.+)$", page.strip())
+    target = f"kategorie/{slug_text(category[1])}" if category else slug_text(page.strip().removeprefix(":"))
+    return target or None, anchor.strip() or None, (label if bar else goal).strip()
 
 
 _BLOCK = re.compile(r"<imagemap>(.*?)</imagemap>", re.S)
@@ -163,10 +173,29 @@ def image_rects(wikitext: str) -> list[tuple]:
     return out
 
 
+#: A map of one region, chosen by the parameter of its template, and its picture.
+_REGION = re.compile(r"\{\{#ifeq:\s*\{\{\{1\}\}\}\s*\|\s*([^|]+?)\s*\|\s*<imagemap>(.*?)</imagemap>", re.S)
+_PICTURE = re.compile(r"^\s*(?:Image|Datei|File):\s*([^|\n]+?\.(?:gif|png|jpe?g))\s*(?:\|\s*(\d+)px)?", re.I | re.M)
+
+
+def region_maps(wikitext: str) -> list[tuple]:
+    """(region, image, width, x1, y1, x2, y2, target, anchor, label) of the rectangles of each region's map; a map without any has no row."""
+    out = []
+    for region, block in _REGION.findall(wikitext):
+        picture = _PICTURE.search(block)
+        for *box, link in _RECT.findall(block):
+            out.append((region, picture[1].strip() if picture else None, int(picture[2]) if picture and picture[2] else None, *map(int, box), *link_parts(link)))
+    return out
+
+
 def image_maps(docs: DataFrame, key: str, text: str) -> DataFrame:
     return _table(docs, key, text, image_rects, "block int, image string, x1 int, y1 int, x2 int, y2 int, target string, anchor string, label string")
 
 
+def regions(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return _table(docs, key, text, region_maps, "region string, image string, width int, x1 int, y1 int, x2 int, y2 int, target string, anchor string, label string")
+
+
 class _Markdown(HTMLParser):
     """HTML to markdown: headings, paragraphs, lists, links, emphasis, fences and pipe tables."""
 

@@ -14,10 +14,12 @@ WET = ("water", "ocean")
 SWIM = 3
 DROWN = 1000
 ROAD_DISCOUNT = 0.1
+OFFSETS = {"N": (-1, 0), "S": (1, 0), "E": (0, 1), "W": (0, -1), "NE": (-1, 1), "NW": (-1, -1), "SE": (1, 1), "SW": (1, -1)}
 
 
 def terrain(r: Column, g: Column, b: Column) -> Column:
     """Terrain of a colour; the first rule that fits counts."""
+    # The thresholds of the rules.
     return (
         F.when((r < 40) & (g < 40) & (b < 40), "ocean")
         .when((b > 150) & (r < 110), "water")
@@ -54,8 +56,10 @@ def footprints(rects: DataFrame, size: int = 12) -> DataFrame:
 def _walk(tiles: pd.DataFrame, start: tuple[int, int], goal: tuple[int, int], costs: dict[str, int]) -> tuple[float | None, list[tuple[int, int]]]:
     kind = {(r, c): t for r, c, t in zip(tiles["row"], tiles["col"], tiles["terrain"], strict=True)}
     shut = {(r, c) for r, c, x in zip(tiles["row"], tiles["col"], tiles["blocked"], strict=True) if x}
+    # Directions in which a tile's road leaves it, where the table has them; else a road goes to every road beside it.
+    leads = {} if "road_dirs" not in tiles else {(r, c): {OFFSETS[d]: True for d in x} for r, c, x in zip(tiles["row"], tiles["col"], tiles["road_dirs"], strict=True) if x is not None}
     open_ = lambda p: p in kind and p not in shut
-    first = (*start, int(kind.get(start) in WET))
+    first = (*start, 0)
     best, came, heap = {first: 0.0}, {}, [(0.0, first)]
     while heap:
         cost, state = heapq.heappop(heap)
@@ -70,11 +74,11 @@ def _walk(tiles: pd.DataFrame, start: tuple[int, int], goal: tuple[int, int], co
         for dr in (-1, 0, 1):
             for dc in (-1, 0, 1):
                 to = (row + dr, col + dc)
-                if (dr, dc) == (0, 0) or not open_(to) or dr and dc and not (open_((row + dr, col)) and open_((row, col + dc))):
+                if (dr, dc) == (0, 0) or not open_(to) or dr and dc and ((row + dr, col) in shut or (row, col + dc) in shut):
                     continue
                 wet = min(run + 1, SWIM + 1) if kind[to] in WET else 0
                 step = costs[kind[to]] + DROWN * (wet > SWIM)
-                if kind[to] == "road" and kind[row, col] == "road":
+                if leads.get((row, col), {}).get((dr, dc)) or not leads and kind[to] == kind[row, col] == "road":
                     step -= ROAD_DISCOUNT
                 state2 = (*to, wet)
                 if cost + step < best.get(state2, float("inf")):

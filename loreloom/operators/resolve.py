@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loreloom.functions.text import normal, room_tokens
+from loreloom.functions.text import normal, room_tokens, tokens_overlap
 from loreloom.plans.checkpoint import cut
 
 PASSES = 4
@@ -34,9 +34,12 @@ def resolve(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     asked = queries.select("query", base_name(F.col("query")).alias("q"), room_tokens("query").alias("words")).where(F.length("q") >= 3)
     named = nodes.where("name is not null").select("id", "name", "origin", base_name(F.col("name")).alias("n"))
     exact = asked.join(named, F.col("q") == F.col("n")).select("query", "id", "name", "origin", F.lit(0).alias("tier"))
-    word = named.select("id", "name", "origin", F.explode(room_tokens("name")).alias("word"))
-    found = asked.select("query", F.size("words").alias("need"), F.explode("words").alias("word")).join(word, "word")
-    every = found.groupBy("query", "id", "name", "origin", "need").agg(F.count("*").alias("have")).where("have = need").select("query", "id", "name", "origin", F.lit(1).alias("tier"))
+    # A word of a name may contain that of the query; their shared first three letters make it an equi-join.
+    word = named.select("id", "name", "origin", F.explode(room_tokens("name")).alias("long"))
+    places = F.sequence(F.lit(1), F.length("long") - 2)
+    word = word.withColumn("start", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col("long"), i, F.lit(3))))))
+    found = asked.select("query", F.size("words").alias("need"), F.explode("words").alias("word")).withColumn("start", F.substring("word", 1, 3)).join(word, "start").where(F.contains("long", "word"))
+    every = found.groupBy("query", "id", "name", "origin", "need").agg(F.countDistinct("word").alias("have")).where("have = need").select("query", "id", "name", "origin", F.lit(1).alias("tier"))
     order = Window.partitionBy("query").orderBy("tier", (F.col("origin") != "primary").cast("int"), F.length("name"), "id")
     return exact.unionByName(every).withColumn("rank", F.row_number().over(order)).where("rank = 1").select("query", "id", "name")
 
@@ -59,17 +62,22 @@ def reconcile(primary: DataFrame, secondary: DataFrame, primary_edges: DataFrame
     bound = cut(portal.withColumn("tier", F.lit("portal")))
     same = p.select("a", base_name(F.col("name")).alias("n")).where("n <> ''").join(s.select("b", base_name(F.col("name")).alias("n")), "n").select("a", "b")
     bound = cut(bound.unionByName(_free(_single(same), bound).withColumn("tier", F.lit("name"))))
-    stem = lambda side, key: side.select(key, F.explode(F.filter(room_tokens("name"), lambda w: F.length(w) >= DISTINCTIVE)).alias("w")).select(key, F.substring("w", 1, DISTINCTIVE).alias("w")).distinct()
-    words = _single(stem(p, "a").join(stem(s, "b"), "w").select("a", "b"))
+    stem = lambda side, key: side.select(key, F.explode(F.filter(room_tokens("name"), lambda w: F.length(w) >= DISTINCTIVE)).alias(f"{key}_word")).withColumn("stem", F.substring(f"{key}_word", 1, DISTINCTIVE))
+    alike = stem(p, "a").join(stem(s, "b"), "stem").where(F.startswith("a_word", F.col("b_word")) | F.startswith("b_word", F.col("a_word")))
+    # A word of a secondary room that fits one primary room only is distinctive.
+    fits = cut(alike.select("a", "b", "b_word").distinct().withColumn("n", F.count("*").over(Window.partitionBy("b", "b_word"))).where("n = 1").select("a", "b").distinct())
+    words_of = lambda side, key: side.select(key, room_tokens("name").alias(f"{key}_words"))
     both = lambda e, x, y: e.select(F.col("src").alias(x), F.col("dst").alias(y)).unionByName(e.select(F.col("dst").alias(x), F.col("src").alias(y))).distinct()
     pe, se = cut(both(primary_edges, "a", "a2")), cut(both(secondary_edges, "b", "b2"))
     for _ in range(PASSES):
-        named = _free(words, bound).withColumn("tier", F.lit("word"))
+        named = _single(_free(fits, bound)).withColumn("tier", F.lit("word"))
         known = bound.select(F.col("a").alias("a2"), F.col("b").alias("b2"))
         shared = known.join(pe, "a2").join(se, "b2").groupBy("a", "b").agg(F.count("*").alias("n")).where("n >= 2")
         best = Window.partitionBy("b").orderBy(F.desc("n"))
         leading = shared.withColumn("r", F.rank().over(best)).where("r = 1").select("a", "b")
-        near = _free(_single(leading), bound).withColumn("tier", F.lit("neighbours"))
+        # Rooms that both have a name share a word of it.
+        guarded = leading.join(words_of(p, "a"), "a").join(words_of(s, "b"), "b").where(F.expr("coalesce(size(a_words), 0) <= 0 or coalesce(size(b_words), 0) <= 0") | tokens_overlap(F.col("a_words"), F.col("b_words"))).select("a", "b")
+        near = _free(_single(guarded), bound).withColumn("tier", F.lit("neighbours"))
         new = cut(named.unionByName(near.join(named.select("a"), "a", "left_anti").join(named.select("b"), "b", "left_anti")))
         if new.isEmpty():
             break
@@ -78,13 +86,21 @@ def reconcile(primary: DataFrame, secondary: DataFrame, primary_edges: DataFrame
 
 
 def merge(primary_edges: DataFrame, secondary_edges: DataFrame, bound: DataFrame) -> DataFrame:
-    """(src, dst, command, hint, transition, origin, weight): all primary edges, and secondary ones where no command is known."""
+    """(src, dst, command, hint, transition, origin, weight): all primary edges, and what secondary ones add.
+
+    A secondary edge is left out where its rooms became one, where the primary source knows the command,
+    where neither knows it and there is no hint, and where another one, earlier by command and
+    hint, joins the same rooms that the primary source doesn't join at all.
+    """
     columns = ["src", "dst", "command", "hint", "transition"]
     name = bound.select(F.col("b").alias("key"), F.col("a").alias("to"))
     moved = secondary_edges.join(name.withColumnRenamed("key", "src").withColumnRenamed("to", "s"), "src", "left").join(name.withColumnRenamed("key", "dst").withColumnRenamed("to", "d"), "dst", "left")
-    moved = moved.select(F.coalesce("s", "src").alias("src"), F.coalesce("d", "dst").alias("dst"), "command", "hint", "transition")
-    known = primary_edges.where("command is not null").select("src", "dst").distinct()
-    kept = moved.join(known, ["src", "dst"], "left_anti")
+    moved = moved.select(F.coalesce("s", "src").alias("src"), F.coalesce("d", "dst").alias("dst"), "command", "hint", "transition").where("src <> dst")
+    stated = primary_edges.groupBy("src", "dst").agg(F.max(F.col("command").isNotNull()).alias("known"))
+    first = F.row_number().over(Window.partitionBy("src", "dst").orderBy(F.col("command").asc_nulls_last(), F.col("hint").asc_nulls_last()))
+    judged = moved.join(stated, ["src", "dst"], "left").withColumn("nth", first)
+    adds = F.when(F.col("known").isNull(), F.col("nth") == 1).otherwise(~F.col("known") & (F.col("command").isNotNull() | F.col("hint").isNotNull()))
+    kept = judged.where(adds)
     all_ = primary_edges.select(*columns, F.lit("primary").alias("origin")).unionByName(kept.select(*columns, F.lit("secondary").alias("origin")))
-    unknown = F.when(F.col("command").isNotNull(), 0).when(F.col("hint").isNotNull(), HINTED).otherwise(BARE)
+    unknown = F.when(F.col("transition") | F.col("command").isNotNull(), 0).when(F.col("hint").isNotNull(), HINTED).otherwise(BARE)
     return all_.withColumn("weight", (F.when(F.col("transition"), TRANSITION).otherwise(0) + F.when(F.col("origin") == "secondary", SECONDARY).otherwise(1) + unknown).cast("double"))

@@ -42,7 +42,7 @@ def parse_pages(raw: DataFrame) -> DataFrame:
         F.coalesce(_field(front, "namespace").try_cast("int"), F.lit(0)).alias("namespace"),
         _field(front, "revid").try_cast("bigint").alias("revid"),
         F.regexp_replace(without_citations(body), r"^\s+|\s+$", "").alias("body"),
-        F.array_remove(outbound_links(body), F.col("concept_id")).alias("links"),
+        outbound_links(body, "concept_id").alias("links"),
     )
 
 

@@ -11,6 +11,11 @@ def test_link_parts():
     assert ps.link_parts(":Kategorie:Gallien|Gallien") == ("kategorie/gallien", None, "Gallien")
 
 
+def test_region_maps():
+    text = "{{#ifeq: {{{1}}} | Asia | <imagemap>\nDatei:Asia.gif|600px\nrect 0 0 11 11 [[Foo-Ling-Yoo]]\nrect 12 0 23 11 [[#Rand|Weltrand]]\n</imagemap>}}{{#ifeq:{{{1}}}|Leer|<imagemap>\nFile:x.png\n</imagemap>}}"
+    assert ps.region_maps(text) == [("Asia", "Asia.gif", 600, 0, 0, 11, 11, "foo-ling-yoo", None, "Foo-Ling-Yoo"), ("Asia", "Asia.gif", 600, 12, 0, 23, 11, None, "Rand", "Weltrand")]
+
+
 def test_image_rects():
     text = "{{#ifeq:a|b|<imagemap>\nBild:Asia.gif|600px\nrect 0 0 11 11 [[Foo-Ling-Yoo]]\npoly 1 1 2 2 [[No]]\nrect 12 0 23 11 [[#Rand|Weltrand]]\n</imagemap>}}"
     assert ps.image_rects(text) == [(0, "Asia.gif", 0, 0, 11, 11, "foo-ling-yoo", None, "Foo-Ling-Yoo"), (0, "Asia.gif", 12, 0, 23, 11, None, "Rand", "Weltrand")]
@@ -28,7 +33,7 @@ def test_sections_and_chunks(spark):
     text = "before\n\n# One\n\nfirst\n### deep\nmore\n## Two\n\n# Three\nlast"
     df = spark.createDataFrame([(1, text), (2, "plain"), (3, "# only")], "id int, text string")
     rows = sorted((r["id"], r["pos"], r["heading"], r["text"]) for r in ps.sections(df, "id", "text").collect())
-    assert rows == [(1, 0, "", "before"), (1, 1, "One", "first\n### deep\nmore"), (1, 3, "Three", "last"), (2, 0, "", "plain")]
+    assert rows == [(1, 0, "", "before"), (1, 1, "One", "first\n### deep\nmore"), (1, 3, "Three", "last"), (2, 0, "", "plain"), (3, 0, "", "# only")]
     long = " ".join(f"word{i}" for i in range(600))
     pieces = ps.split_text(long)
     assert all(len(p) <= 800 for p in pieces) and set(" ".join(pieces).split()) == set(long.split())
