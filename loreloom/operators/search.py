@@ -1,8 +1,9 @@
 """Lexical, dense and fused top-k search.
 
 The index is three tables: postings (term, doc, tf), document frequencies, and lengths. A
-query touches the postings of its few terms only; the query side is a literal list, so the
-term filter reaches the scan of a stored index, and each ranking is a TakeOrdered.
+query of a stored index (bm25_index) touches the postings of its few terms only; the query side is a
+literal list, so the term filter reaches the scan, and each ranking is a TakeOrdered. A table
+without an index is ranked by one pass over its texts (bm25_ranked).
 """
 
 from __future__ import annotations
@@ -39,15 +40,37 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Ind
     return Index(postings, postings.groupBy("term").agg(F.count("*").alias("df")), tokens.select("doc_id", F.size("tokens").cast("bigint").alias("len")))
 
 
-def bm25(docs: DataFrame, terms: list[str], k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, score) of the k best documents. Ties go by the first query term that hit, then by id.
+def _weight(tf: Column, df: Column, n: Column, length: Column, mean: Column) -> Column:
+    return F.log1p((n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+
+def _best(scored: DataFrame, k: int) -> DataFrame:
+    """(doc_id, score, rank) of the k best by the exact score, then by the first query term that hit, then by id."""
+    top = scored.orderBy(F.desc("exact"), "first", "doc_id").limit(k)
+    rank = F.row_number().over(Window.orderBy(F.desc("exact"), "first", "doc_id")) - 1
+    return top.select("doc_id", F.round("exact", 6).alias("score"), rank.alias("rank"))
+
+
+def bm25_index(index: Index, terms: list[str], k: int) -> DataFrame:
+    """(doc_id, score, rank) of the k best documents of a stored index, of which only the postings of the terms are read."""
+    terms = list(dict.fromkeys(terms))
+    place = F.create_map(*(F.lit(x) for pair in zip(terms, range(len(terms)), strict=True) for x in pair)) if terms else F.create_map().cast("map<string,int>")
+    totals = index.lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+    hit = index.postings.where(F.col("term").isin(terms)).join(F.broadcast(index.frequencies.where(F.col("term").isin(terms))), "term").join(index.lengths, "doc_id").join(F.broadcast(totals))
+    number = lambda c: F.col(c).cast("double")
+    weight = _weight(number("tf"), number("df"), number("n"), number("len"), F.col("mean"))
+    return _best(hit.groupBy("doc_id").agg(F.sum(weight).alias("exact"), F.min(place[F.col("term")]).alias("first")), k)
+
+
+def bm25_ranked(docs: DataFrame, terms: list[str], k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, score, rank) of the k best documents of a table that has no index.
 
     A query needs the lengths of all documents but the frequencies of its terms only,
     so those are counted in place and nothing else is exploded or shuffled.
     """
     terms = list(dict.fromkeys(terms))
     if not terms:
-        return docs.select(F.col(key).alias("doc_id"), F.lit(0.0).alias("score")).limit(0)
+        return docs.select(F.col(key).alias("doc_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     tokens = tokens_of(docs, key, text)
 
     def times(term: str) -> Column:
@@ -61,10 +84,14 @@ def bm25(docs: DataFrame, terms: list[str], k: int, key: str = "doc_id", text: s
     score, first = F.lit(0.0), F.lit(len(terms))
     for i in reversed(range(len(terms))):
         tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.log1p((F.col("n") - df + 0.5) / (df + 0.5))
-        score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("mean")))).otherwise(0.0)
+        score = score + F.when(tf > 0, _weight(tf, df, F.col("n"), F.col("len"), F.col("mean"))).otherwise(0.0)
         first = F.when(tf > 0, i).otherwise(first)
-    return hit.select("doc_id", F.round(score, 6).alias("score"), first.alias("first")).orderBy(F.desc("score"), "first", "doc_id").limit(k).select("doc_id", "score")
+    return _best(hit.select("doc_id", score.alias("exact"), first.alias("first")), k)
+
+
+def bm25(docs: DataFrame, terms: list[str], k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, score) of the k best documents. Ties go by the first query term that hit, then by id."""
+    return bm25_ranked(docs, terms, k, key, text).select("doc_id", "score")
 
 
 def dot(a: Column, b: Column) -> Column:

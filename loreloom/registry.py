@@ -38,7 +38,7 @@ q(term, pos) as (values ('that', 0), ('thes', 1), ('inte', 2)),
 len as (select doc_id, len(tokens) as len from tok),
 tot as (select count(*) as n, avg(len) as mean from len),
 df as (select term, count(*) as df from post group by term),
-scored as (select p.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean))), 6) as score, min(pos) as pos
+scored as (select p.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean))) as exact, round(exact, 6) as score, min(pos) as pos
   from post p join q using (term) join df using (term) join len using (doc_id) cross join tot group by p.doc_id)"""
 
 
@@ -76,13 +76,13 @@ def _(s, d):
 @query(
     "hybrid_rrf",
     f"""with {_BM25}, a as (select doc_id, row_number() over (order by score desc, doc_id) - 1 as r from ({_DENSE} order by score desc, doc_id limit 40)),
-b as (select doc_id, row_number() over (order by score desc, doc_id) - 1 as r from (select * from scored order by score desc, pos, doc_id limit 40)),
+b as (select doc_id, row_number() over (order by exact desc, pos, doc_id) - 1 as r from scored qualify r < 40),
 u as (select doc_id, r, 0 as side from a union all select doc_id, r, 1 from b)
 select doc_id, round(sum(1.0 / (60 + r)), 6) as score from u group by doc_id order by score desc, min(side), min(side * 1000 + r) limit 10""",
 )
 def _(s, d):
     first = search.ranked(search.dense(t(s, d, "embeddings"), VECTOR, 40))
-    return search.fuse(first, search.ranked(search.bm25(t(s, d, "documents"), TERMS, 40)), 10)
+    return search.fuse(first, search.bm25_ranked(t(s, d, "documents"), TERMS, 40), 10)
 
 
 @query(
@@ -255,14 +255,14 @@ def _(s, d):
 def _two_sources(s, d):
     order = t(s, d, "orders")
     first = order.where("o_orderkey % 3 = 0").select((F.col("o_custkey") % 50).alias("src"), (F.col("o_orderkey") % 40).alias("dst"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("command"))
-    second = order.where("o_orderkey % 3 = 1").select((F.col("o_custkey") % 50).alias("src"), (F.col("o_orderkey") % 40).alias("dst"), F.col("o_orderstatus").alias("command"))
+    second = order.where("o_orderkey % 3 <> 0").select((F.col("o_custkey") % 50).alias("src"), (F.col("o_orderkey") % 40).alias("dst"), F.col("o_orderstatus").alias("command"))
     return first, second
 
 
 @query(
     "edge_merge_override",
     """with a as (select o_custkey % 50 as src, o_orderkey % 40 as dst, case when o_orderkey % 2 = 0 then o_orderpriority end as command from orders where o_orderkey % 3 = 0),
-b as (select o_custkey % 50 as src, o_orderkey % 40 as dst, o_orderstatus as command from orders where o_orderkey % 3 = 1)
+b as (select o_custkey % 50 as src, o_orderkey % 40 as dst, o_orderstatus as command from orders where o_orderkey % 3 <> 0)
 select *, 'primary' as origin from a union all select *, 'secondary' from b where not exists (select 1 from a where a.src = b.src and a.dst = b.dst and a.command is not null)""",
 )
 def _(s, d):
@@ -282,9 +282,9 @@ def _(s, d):
     return raster.road_continuity(_tiles(s))
 
 
-@query("grid_footprint", "select l_orderkey as label, r.range as row, c.range as col from lineitem, range(20) r, range(20) c where l_linenumber = 1 and l_orderkey % 100 = 1 and r.range between (l_orderkey % 90) // 12 and (l_orderkey % 90 + 30) // 12 and c.range between (l_partkey % 90) // 12 and (l_partkey % 90 + 20) // 12")
+@query("grid_footprint", "select l_orderkey as label, r.range as row, c.range as col from lineitem, range(20) r, range(20) c where r.range between (l_orderkey % 90) // 12 and (l_orderkey % 90 + 30) // 12 and c.range between (l_partkey % 90) // 12 and (l_partkey % 90 + 20) // 12")
 def _(s, d):
-    rects = t(s, d, "lineitem").where("l_linenumber = 1 and l_orderkey % 100 = 1")
+    rects = t(s, d, "lineitem")
     y, x = F.col("l_orderkey") % 90, F.col("l_partkey") % 90
     return raster.footprints(rects.select(F.col("l_orderkey").alias("label"), x.alias("x1"), y.alias("y1"), (x + 20).alias("x2"), (y + 30).alias("y2")))
 
@@ -397,6 +397,9 @@ def _(s, d):
     return parsers.chunks(t(s, d, "documents"), "doc_id", "text")
 
 
+from loreloom import map_queries, wiki_queries  # noqa: E402, F401 - they add their queries to those above
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 
