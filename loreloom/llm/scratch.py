@@ -25,11 +25,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Of what goes to a Python worker at a time, and Spark's default that it takes the place of.
+BATCH, _DEFAULT = 8 << 20, 64 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send rows to Python by 8 MB at a time, as texts are long; a size that somebody has set stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "") in (str(_DEFAULT), f"{_DEFAULT}b", "64m", "64MB"):
+        spark.conf.set(key, str(BATCH))
+
+
 class Scratch:
     """Tables of one run of an operator, each written once and read back."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
 
