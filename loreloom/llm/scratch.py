@@ -32,7 +32,7 @@ BATCH, _DEFAULT = 8 << 20, 64 << 20
 def small_batches(spark: SparkSession) -> None:
     """Send rows to Python by 8 MB at a time, as texts are long; a size that somebody has set stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "") in (str(_DEFAULT), f"{_DEFAULT}b", "64m", "64MB"):
+    if spark.conf.get(key) in (str(_DEFAULT), f"{_DEFAULT}b", "64m", "64MB"):
         spark.conf.set(key, str(BATCH))
 
 
