@@ -19,7 +19,7 @@ precision.
 
 Vectors that are equal are one representative with a multiplicity. There are about as many lists as
 the root of the vectors a label has. The lists of a label are dealt into chunks of about `CHUNK`
-vectors and so are the queries, whatever the sizes; a task compares two chunks, counts links for
+vectors and so are the queries of a list, whatever the sizes; a task compares two chunks, counts links for
 each vector and reports connections by one row a vector, never pair by pair.
 
 Centres and codes are fitted on `SAMPLE` vectors, taken in the order of a hash of their ids;
@@ -139,7 +139,7 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 _BLOCK = 256
-_GROUP = ["label", "at", "chunk", "from_list", "from_chunk"]
+_GROUP = ["label", "at", "chunk", "part"]
 
 
 def _pairs(own: np.ndarray, rep: np.ndarray, q: np.ndarray, e: np.ndarray) -> np.ndarray:
@@ -199,14 +199,15 @@ def _known(usable: DataFrame, scratch: Scratch, width: int, cosine: float, lists
     coded = scratch.cut(coded, "coded")
     chunks = scratch.cut(coded.groupBy("label", "list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "chunks")
     own = scratch.cut(coded.join(chunks, ["label", "list"]).withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("chunks")).cast("int")).drop("chunks"), "dealt")
-    # Queries meet the chunks of every list at or above their own that they probe; a group is (label, list, chunk, list and chunk of the queries).
-    probing = own.select("rep", "label", "times", "v", "list", F.col("chunk").alias("from_chunk"), F.explode(F.filter("probes", lambda p: p >= F.col("list"))).alias("at"))
-    target = chunks.select("label", F.col("list").alias("at"), "chunks")
+    # Queries meet the chunks of every list at or above their own that they probe; a group is a chunk of a list and a part of its queries.
+    probing = scratch.cut(own.select("rep", "label", "list", F.explode(F.filter("probes", lambda p: p >= F.col("list"))).alias("at")), "probing")
+    target = scratch.cut(probing.groupBy("label", "at").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts")).join(chunks.withColumnRenamed("list", "at"), ["label", "at"]), "target")
     nothing = lambda kind: F.lit(None).cast(kind)
-    queries = probing.join(target, ["label", "at"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    queries = queries.select("label", "at", "chunk", F.col("list").alias("from_list"), "from_chunk", "rep", "times", "list", "v", nothing("binary").alias("codes"), F.lit(0.0).alias("error"), F.lit(True).alias("query"))
-    asked = scratch.cut(queries.select(*_GROUP).distinct(), "asked")
-    entries = own.select("label", F.col("list").alias("at"), "chunk", "rep", "times", "list", nothing(types["v"]).alias("v"), "codes", "error").join(asked, ["label", "at", "chunk"]).withColumn("query", F.lit(False)).select(queries.columns)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    queries = probing.join(target, ["label", "at"]).withColumn("part", F.pmod(F.xxhash64("rep", F.lit(2)), "parts").cast("int")).withColumn("chunk", every("chunks")).select("rep", "at", "chunk", "part").join(own.select("rep", "label", "times", "list", "v"), "rep")
+    queries = queries.select("label", "at", "chunk", "part", "rep", "times", "list", "v", nothing("binary").alias("codes"), F.lit(0.0).alias("error"), F.lit(True).alias("query"))
+    entries = own.withColumnRenamed("list", "at").join(target, ["label", "at"]).withColumn("part", every("parts"))
+    entries = entries.select("label", "at", "chunk", "part", "rep", "times", F.col("at").alias("list"), nothing(types["v"]).alias("v"), "codes", "error", F.lit(False).alias("query"))
     kinds = dict(queries.dtypes)
     likely = queries.unionByName(entries).groupBy(*_GROUP).applyInArrow(lambda t: _candidates(t, quantiser, width), ", ".join(f"{c} {kinds[c]}" for c in [*_GROUP, "rep", "query", "list", "times"]))
     likely = scratch.cut(likely, "likely")
