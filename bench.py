@@ -23,6 +23,8 @@ def main() -> None:
     spark = SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus).config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.driver.memory", "8g").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     found, seconds = registry.queries(), {}
+    # The first query of a session pays for what the engine loads and compiles; this one isn't timed.
+    found["bm25_topk"](spark, folder).write.format("noop").mode("overwrite").save()
     for name in HEADLINE:
         began = time.time()
         found[name](spark, folder).write.format("noop").mode("overwrite").save()
