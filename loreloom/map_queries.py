@@ -144,6 +144,42 @@ def _(s, d):
     return rooms.gate_words(legend, F.lit("x"))
 
 
+_LABELS = "b as (select 'orte/' || n_nationkey as target, 'S' as label from nation union all select 'orte/' || n_nationkey, 'T' from nation where n_nationkey % 2 = 0)"
+
+
+def _borders(s, d):
+    """Labels of two gates and a wood for every nation; each second gate is on water."""
+    k = F.col("n_nationkey")
+    entry = lambda label, text: F.struct(F.lit(label).alias("label"), text.alias("text"))
+    rows = F.array(entry("S", F.lit("Steg")), entry("T", F.when(k % 2 == 0, "Stadttor").otherwise("Tor am Fluss")), entry("Wald-3", F.lit("Wald")))
+    legend = t(s, d, "nation").select(F.concat(F.lit("orte/"), k.cast("string")).alias("map"), F.inline(rows)).withColumn("color", F.lit(None).cast("string")).withColumn("pages", F.array(F.lit("gallien")))
+    return rooms.border_labels(legend, F.lit("gallien")).select(F.col("map").alias("target"), "label")
+
+
+@query("border_labels", f"with {_LABELS} select * from b")
+def _(s, d):
+    return _borders(s, d)
+
+
+_GLYPHS = "T|-/\\X S"
+
+
+@query("gate_directions", f"""with {_LABELS}, l as (select s_nationkey as map, 'orte/' || s_nationkey as target, avg(s_suppkey % 17) as y, avg(s_suppkey % 23) as x from supplier group by s_nationkey),
+g as (select n_nationkey as map, cast(r.range as int) as "row", cast(c.range as int) as col, substr('{_GLYPHS}', cast((n_nationkey * 31 + r.range * 7 + c.range * 13 + (r.range * c.range) % 5) % 8 as int) + 1, 1) as glyph from nation, range(30) r, range(30) c),
+k as (select g.map, l.target, g."row", g.col, g."row" - y as dy, g.col - x as dx from l join b using (target) join g on g.map = l.map and g.glyph = b.label),
+s as (select unnest([{", ".join(f"struct_pack(nth := {i}, name := '{name}', y := {y}, x := {x}, strokes := '{strokes}')" for i, (name, y, x, strokes) in enumerate(rooms.STROKES))}], recursive := true))
+select k.map, k.target, k."row", k.col, case when abs(dx) >= abs(dy) then case when dx < 0 then 'W' else 'E' end else case when dy < 0 then 'N' else 'S' end end as side, coalesce(string_agg(name, ',' order by nth) filter (not coalesce(contains(strokes, g.glyph), false)), '') as blocked
+from k cross join s left join g on g.map = k.map and g."row" = k."row" + s.y and g.col = k.col + s.x where sqrt(dy * dy + dx * dx) <= 12 group by all""")
+def _(s, d):
+    y, x, k = F.col("row"), F.col("col"), F.col("n_nationkey")
+    axis = F.sequence(F.lit(0), F.lit(29))
+    board = t(s, d, "nation").select(k, F.explode(axis).alias("row")).select(k, "row", F.explode(axis).alias("col"))
+    cells = board.select(k.alias("map"), "row", "col", F.substring(F.lit(_GLYPHS), (k * 31 + y * 7 + x * 13 + (y * x) % 5) % 8 + 1, F.lit(1)).alias("glyph"))
+    n = F.col("s_nationkey")
+    links = t(s, d, "supplier").select(n.alias("map"), F.concat(F.lit("orte/"), n.cast("string")).alias("target"), (F.col("s_suppkey") % 17).alias("row"), (F.col("s_suppkey") % 23).alias("col"))
+    return rooms.gate_directions(cells, links, _borders(s, d)).withColumn("blocked", F.array_join("blocked", ","))
+
+
 @query("page_provenance", "select s_nationkey as region, case when s_suppkey % 2 = 0 then 'wiki' else 'maps' end as origin, array_to_string(list_sort(list(distinct s_name)), ',') as pages from supplier group by all")
 def _(s, d):
     sources = t(s, d, "supplier").select(F.col("s_nationkey").alias("region"), F.when(F.col("s_suppkey") % 2 == 0, "wiki").otherwise("maps").alias("origin"), F.col("s_name").alias("page"))

@@ -269,6 +269,38 @@ def gate_words(legend: DataFrame, region: Column | str, longest_noise: int = 4)
     return land.select("map", F.explode(words).alias("word")).distinct()
 
 
+def border_labels(legend: DataFrame, region: Column | str) -> DataFrame:
+    """(map, label): labels of one letter whose legend leads back to a region by land. legend: map, label, text, color, pages."""
+    land = legend.where(F.array_contains("pages", region) & ~wiki.borders_water("text") & (F.coalesce("color", F.lit("")) != "0000FF"))
+    return land.where(wiki.single_glyph("label")).select("map", "label").distinct()
+
+
+#: A direction, the step to it in rows and columns, and the strokes that join a tile to its neighbour there.
+STROKES = [
+    ("norden", -1, 0, "|"), ("sueden", 1, 0, "|"), ("westen", 0, -1, "-"), ("osten", 0, 1, "-"),
+    ("nordosten", -1, 1, "/X"), ("nordwesten", -1, -1, "\\X"), ("suedwesten", 1, -1, "/X"), ("suedosten", 1, 1, "\\X"),
+]
+
+
+def gate_directions(cells: DataFrame, links: DataFrame, labels: DataFrame, reach: float = 12.0) -> DataFrame:
+    """(map, target, row, col, side, blocked): gates near where a map leads to a target, and the directions that no stroke leaves them by.
+
+    cells: map, row, col, glyph, one row a cell; links: map, target, row, col; labels: target, label. Gates are cells
+    with a label of the target, at most `reach` from the middle of its links; side is where they lie of that middle.
+    """
+    middle = links.groupBy("map", "target").agg(F.avg("row").alias("mid_row"), F.avg("col").alias("mid_col"))
+    down, across = F.col("row") - F.col("mid_row"), F.col("col") - F.col("mid_col")
+    side = F.when(F.abs(across) >= F.abs(down), F.when(across < 0, "W").otherwise("E")).otherwise(F.when(down < 0, "N").otherwise("S"))
+    wanted = middle.join(labels.distinct(), "target").withColumnRenamed("label", "glyph")
+    gates = cells.join(wanted, ["map", "glyph"]).where(F.sqrt(down * down + across * across) <= reach).select("map", "target", "row", "col", side.alias("side"))
+    around = F.array(*(F.struct(F.lit(i).alias("nth"), F.lit(name).alias("name"), (F.col("row") + y).alias("r"), (F.col("col") + x).alias("c"), F.lit(strokes).alias("strokes")) for i, (name, y, x, strokes) in enumerate(STROKES)))
+    asked = gates.select("*", F.explode(around).alias("to")).select("map", "target", "row", "col", "side", "to.*")
+    beside = cells.select("map", F.col("row").alias("r"), F.col("col").alias("c"), "glyph")
+    joined = asked.join(beside, ["map", "r", "c"], "left").withColumn("open", F.coalesce(F.contains("strokes", F.col("glyph")), F.lit(False)))
+    shut = F.array_sort(F.collect_list(F.when(~F.col("open"), F.struct("nth", "name"))))
+    return joined.groupBy("map", "target", "row", "col", "side").agg(F.transform(shut, lambda x: x["name"]).alias("blocked"))
+
+
 def portal_pairs(portals: DataFrame) -> DataFrame:
     """(map, target, a, b): rooms that lead from one map to another and back, matched greedily by what their legends share.
 
