@@ -14,7 +14,9 @@ Only connections matter for the result, so the work follows them, in two passes:
    A hot group of near copies is connected here through its medoid, whatever its size.
 2. The nodes of all trees whose members aren't one component yet, branched until they're small.
 
-A node is small with at most `NODE` members and `ITEMS` shingles. Its members' signatures (256
+A node is small with at most `ITEMS` shingles and as many pairs of different components as `NODE`
+members can have, so that the rest of a hot group that is mostly connected isn't branched on and
+on for a few members; `WIDE` members are the most. Its members' signatures (256
 minwise values, 8 bits each) are compared across components, with a margin of four standard
 deviations below the threshold. Members that are like no other are done; the sets of the others
 are sent to the node, once for each member and never for each pair, and pairs are confirmed on the
@@ -49,7 +51,7 @@ from loreloom.llm.scratch import Scratch
 
 TREES, STEP, FIRST = 12, 2, 2
 SLOTS = 256
-NODE, ITEMS = 512, 4 << 20
+NODE, WIDE, ITEMS = 512, 2048, 4 << 20
 #: All slots of a signature have been branched by then.
 DEPTH = SLOTS // STEP
 #: The filter of ids has 16 bits for each that is looked for, up to 64 MB.
@@ -182,11 +184,11 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], least: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Links, confirmed on full sets, that connect what can be connected in each node."""
+    """Links between components, confirmed on full sets, that connect what can be connected in each node."""
     for table in _whole_nodes(batches, 256):
         i, j, same = _alike(table, least, percent)
         order = np.argsort(-same, kind="stable")
-        node, comp, rep = (table[c].to_numpy() for c in ("node", "comp", "rep"))
+        node, comp = (table[c].to_numpy() for c in ("node", "comp"))
         items = table["items"].combine_chunks()
         root: dict[tuple[int, int], tuple[int, int]] = {}
 
@@ -204,8 +206,8 @@ def _confirm(batches: Iterator[pa.RecordBatch], least: int, percent: int) -> Ite
             both = _common(x, y)
             if 100 * both >= percent * (len(x) + len(y) - both):
                 root[max(own, other)] = min(own, other)
-                p.append(rep[a])
-                q.append(rep[b])
+                p.append(comp[a])
+                q.append(comp[b])
         yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(q, pa.int64())], names=["p", "q"])
 
 
@@ -250,11 +252,13 @@ class _Join:
 
     def sets(self, needed: DataFrame) -> DataFrame:
         """(rep, items) of representatives: one pass over the texts, of which only those whose id is sought are made into sets."""
+        needed = self.scratch.cut(needed.select("rep", "key", "a", "b"), "needed")
         size = max(1 << 16, min(MAX_FILTER_BITS, 1 << (16 * needed.count()).bit_length()))
         bit = F.pmod(F.xxhash64("key"), F.lit(size))
-        maps = needed.groupBy(F.bitmap_bucket_number(bit).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).toLocalIterator()
+        maps = needed.groupBy(F.bitmap_bucket_number(bit).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
         bits = np.zeros(size + 1, np.uint8)
-        for row in maps:
+        # The iterator runs a job for every partition; one has 16 MB of bits at most.
+        for row in maps.coalesce(max(1, size >> 26)).toLocalIterator():
             # Bucket 1 has bits 1 to 32768, and so on; bit 0 is in bucket 0.
             found = np.unpackbits(np.frombuffer(bytes(row["bits"]), np.uint8), bitorder="little")
             begin = (row["at"] - 1) * len(found) + 1 if row["at"] > 0 else 0
@@ -272,7 +276,7 @@ class _Join:
         return self.scratch.cut(signed.mapInArrow(partial(_likely, least=self.least, percent=self.percent), "node bigint, rep bigint, comp bigint"), "likely")
 
     def linked(self, likely: DataFrame, involved: DataFrame, sets: DataFrame) -> DataFrame:
-        """Links (p, q) that connect the likely members of nodes, confirmed on full sets."""
+        """Links (p, q) between the components of the likely members of nodes, confirmed on full sets."""
         full = likely.join(involved.select("rep", "n", "sig"), "rep").join(sets, "rep").repartition("node").sortWithinPartitions("node", "rep")
         return self.scratch.cut(full.mapInArrow(partial(_confirm, least=self.least, percent=self.percent), "p bigint, q bigint"), "links")
 
@@ -295,23 +299,33 @@ class _Join:
             placed = placed.unionByName(guests)
         return self.likely(placed, involved)
 
-    def second(self, members: DataFrame, links: DataFrame, involved: DataFrame) -> DataFrame:
+    def mixed(self, level: DataFrame) -> DataFrame:
+        """(node, small) of the nodes whose members aren't one component."""
+        each = level.groupBy("node", "comp").agg(F.count("*").cast("double").alias("size"), F.sum("n").alias("items"))
+        # Twice the pairs of different components.
+        pairs = (F.col("size") * F.col("size") - F.col("squares")).alias("pairs")
+        nodes = each.groupBy("node").agg(F.sum("size").alias("size"), F.sum(F.col("size") * F.col("size")).alias("squares"), F.sum("items").alias("items"), F.count("*").alias("comps"))
+        few = (F.col("pairs") <= NODE * (NODE - 1)) & (F.col("size") <= WIDE) & (F.col("items") <= ITEMS)
+        return nodes.where("comps > 1").select("node", "size", "items", pairs).select("node", ((F.col("size") <= 2) | few).alias("small"))
+
+    def second(self, members: DataFrame, roots: DataFrame, involved: DataFrame) -> DataFrame:
         """Likely members of the nodes of all trees, branched until they're small, that aren't one component yet."""
         cut = self.scratch.cut
-        roots = components(links, self.scratch, "p", "q").select(F.col("node").alias("of"), "root")
+        roots = roots.select(F.col("node").alias("of"), "root")
         level = cut(members.join(roots, members["rep"] == roots["of"], "left").select("node", "rep", "n", F.coalesce("root", "rep").alias("comp")), "labelled")
         leaves = None
-        for _ in range(DEPTH):
-            nodes = level.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("items"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("node", "size", "items")
-            mixed = cut(level.join(nodes, "node").withColumn("parts", self._parts()), "mixed")
-            small = mixed.where(F.col("parts") == 1).select("node", "rep", "comp")
+        for depth in range(DEPTH):
+            mixed = cut(level.join(self.mixed(level), "node"), "mixed")
+            small = mixed.where("small").select("node", "rep", "comp")
             leaves = small if leaves is None else leaves.unionByName(small)
-            large = mixed.where(F.col("parts") > 1).select("node", "rep", "n", "comp")
+            large = mixed.where("not small").drop("small")
             if large.isEmpty():
                 break
+            if not depth:  # from here on rows have their signatures with them
+                large = cut(large.join(involved.select("rep", "sig"), "rep"), "large")
             places = [F.pmod(F.xxhash64("node", F.lit(i)), F.lit(SLOTS)).cast("int") for i in range(STEP)]
             token = [F.substring("sig", p + 1, F.lit(1)) for p in places]
-            level = cut(large.join(involved.select("rep", "sig"), "rep").select(F.xxhash64("node", *token).alias("node"), "rep", "n", "comp"), "level")
+            level = large.select(F.xxhash64("node", *token).alias("node"), "rep", "n", "comp", "sig")
         else:
             leaves = leaves.unionByName(large.select("node", "rep", "comp"))
         return self.likely(leaves, involved)
@@ -326,13 +340,15 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     likely = join.first(members, involved)
     sets = join.sets(involved.join(likely.select("rep").distinct(), "rep", "left_semi"))
     links = join.linked(likely, involved, sets)
-    likely = join.second(members, links, involved)
+    roots = components(links, join.scratch, "p", "q")
+    likely = join.second(members, roots, involved)
     more = join.sets(involved.join(likely.select("rep").distinct(), "rep", "left_semi").join(sets.select("rep"), "rep", "left_anti"))
-    links = links.unionByName(join.linked(likely, involved, sets.unionByName(more)))
+    links = join.linked(likely, involved, sets.unionByName(more))
     for table in (sets, more):
         join.scratch.drop(table)
-    roots = components(links, join.scratch, "p", "q").select(F.col("node").alias("rep"), "root")
-    placed = join.scratch.cut(reps.select("rep", "key", "a", "b", "n").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "placed")
+    last = components(links, join.scratch, "p", "q").select(F.col("node").alias("of"), F.col("root").alias("last"))
+    rooted = reps.select("rep", "key", "a", "b", "n").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("of", F.coalesce("root", "rep"))
+    placed = join.scratch.cut(rooted.join(last, "of", "left").withColumn("root", F.coalesce("last", "of")).drop("of", "last"), "placed")
     least = placed.groupBy("root").agg(F.min("key").alias("component"))
     found = join.scratch.cut(placed.join(least, "root").select("a", "b", "n", "component"), "components")
     component = F.when(F.col("key").isNotNull(), F.coalesce("component", "key"))
