@@ -257,7 +257,7 @@ class _Join:
         bit = F.pmod(F.xxhash64("key"), F.lit(size))
         maps = needed.groupBy(F.bitmap_bucket_number(bit).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
         bits = np.zeros(size + 1, np.uint8)
-        # The iterator runs a job for every partition; one has 16 MB of bits at most.
+        # The iterator runs a job for every partition; one has about 8 MB of bits at most.
         for row in maps.coalesce(max(1, size >> 26)).toLocalIterator():
             # Bucket 1 has bits 1 to 32768, and so on; bit 0 is in bucket 0.
             found = np.unpackbits(np.frombuffer(bytes(row["bits"]), np.uint8), bitorder="little")
