@@ -138,7 +138,8 @@ def fold_words(words: str, path: str) -> Column:
 
 #: Distinct words that a task remembers before it starts anew.
 REMEMBER = 1 << 20
-SLICE_BYTES = 2 << 20
+#: Bytes of text of a row between the steps. Rows of many MB each are large blocks of an executor's heap, which grows for them.
+SLICE_BYTES = 1 << 19
 
 
 def _words_of(key: str, text: str, table, remember: int, slice_bytes: int):

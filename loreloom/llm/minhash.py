@@ -145,7 +145,7 @@ def _whole_nodes(batches: Iterator[pa.RecordBatch], least: int, by: str = "node"
                 kept = kept.slice(int(other[-1]) + 1).combine_chunks()
     if kept is not None:
         yield kept.combine_chunks()
-    pa.default_memory_pool().release_unused()
+    ts.release()
 
 
 def _alike(table: pa.Table, least: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

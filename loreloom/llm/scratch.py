@@ -25,15 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Of what goes to a Python worker at a time, and Spark's default that it takes the place of.
-BATCH, _DEFAULT = 8 << 20, 64 << 20
+#: Bytes that go to a Python worker at a time and rows that a scan decodes at a time, and Spark's defaults that they take the place of.
+_SMALL = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": (2 << 20, (f"{64 << 20}", f"{64 << 20}b", "64m", "64MB")),
+    "spark.sql.parquet.columnarReaderBatchSize": (1024, ("4096",)),
+}
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Send rows to Python by 8 MB at a time, as texts are long; a size that somebody has set stays."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key) in (str(_DEFAULT), f"{_DEFAULT}b", "64m", "64MB"):
-        spark.conf.set(key, str(BATCH))
+    """Send rows to Python by 2 MB and decode 1,024 at a time, as texts are long; a size that somebody has set stays.
+
+    A larger batch is a larger block of the executor's heap, of its memory outside the heap, and of the worker's.
+    """
+    for key, (size, defaults) in _SMALL.items():
+        if spark.conf.get(key) in defaults:
+            spark.conf.set(key, str(size))
 
 
 class Scratch:

@@ -7,6 +7,8 @@ one text longer than a slice is hashed piecewise, and never cut inside a word.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,14 +44,27 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
+@functools.cache
+def _trim():
+    """The C library's call that gives back freed memory, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give back to the system what Arrow and numpy have freed, or workers that live on keep it, up to 64 MB each."""
+    pa.default_memory_pool().release_unused()
+    trim = _trim()
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Row slices of at most about `limit` bytes of text, one row at least.
 
-    What Arrow has freed goes back to the system after every batch, or workers that live on keep it.
+    What has been freed goes back to the system after every batch.
     """
-    pool = pa.default_memory_pool()
     for batch in batches:
-        pool.release_unused()
+        release()
         if not batch.num_rows:
             continue
         _, off = flat(batch.column(column))
@@ -59,7 +74,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             yield batch.slice(at, to - at)
             at = to
         del batch
-    pool.release_unused()
+    release()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -1,7 +1,11 @@
 import hashlib
+import os
 import random
+import subprocess
+import sys
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -47,3 +51,40 @@ def test_memory_of_words_is_bounded(spark, library):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").coalesce(2)
     got = {r["doc_id"]: r["ids"] for r in bpe.encode(df, PATH, remember=10, slice_bytes=50).collect()}
     assert got == {i: library.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
+def test_rows_between_the_steps_stay_small():
+    texts = [f"word{i} " * 100 for i in range(6000)]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    total = sum(map(len, texts))
+    rows = [r for out in bpe._words_of("doc_id", "text", None, bpe.REMEMBER, bpe.SLICE_BYTES)(iter([batch])) for r in out.select(["keys", "at"]).to_pylist()]
+    assert [k for r in rows for k in r["keys"]] == list(range(len(texts)))
+    assert len(rows) >= total >> 20
+    # A quarter of 1 MB at least is left for the words that are new.
+    assert max(len(r["at"]) for r in rows) <= 3 << 18
+
+
+#: A worker frees 30 MB in blocks too small to be mapped one by one, and then takes a batch.
+_WORKER = """
+import re, sys
+import numpy as np, pyarrow as pa
+from loreloom.llm import textscan as ts
+
+def mb():
+    return sum(map(int, re.findall(r"Private_Dirty:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+batch = pa.record_batch([pa.array(["a b"])], names=["text"])
+list(ts.slices(iter([batch])))
+np.ones(20 << 20, np.uint8)  # freed, it makes blocks under 20 MB come from the heap
+before = mb()
+blocks = [np.ones(1 << 20, np.uint8) for _ in range(30)]
+del blocks
+list(ts.slices(iter([batch])))
+print(mb() - before)
+"""
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="needs Linux")
+def test_workers_give_freed_memory_back():
+    kept = subprocess.run([sys.executable, "-c", _WORKER], capture_output=True, text=True, check=True, timeout=60).stdout
+    assert float(kept) < 10
