@@ -11,9 +11,11 @@ a reducer that owns a block writes it out whole. Its size follows the number of
 `BITS` bits for each label. `MAX_BYTES` bounds the broadcast: a larger filter goes out in
 shards of whole blocks with a pass over the text for each. An n-gram's block lies in one shard,
 so the passes carry every token's two levels along, and the scores don't depend on `MAX_BYTES`.
+A shard goes out in pieces of `PIECE` bytes as its blocks arrive; the driver's Python holds one piece.
 
-The base score needs exact counts. The `EXACT` most frequent tokens go out as a sorted table
-of that bounded size; the rest of a document's tokens is joined with the counts by hash.
+The base score needs exact counts. The most frequent tokens, `EXACT` at most and all above one
+count, go out as a sorted table; the rest of a document's tokens is joined with the counts by hash.
+The count comes from a histogram, as a top-k would send that many tokens of every partition to one place.
 
 Defined cases: a null text is empty and still has its end token; a null id has checksum key
 null, counts as training text and keeps a row; repeated rows are scored each and train each.
@@ -35,6 +37,7 @@ from loreloom.llm.scratch import Scratch
 
 BITS = 12
 MAX_BYTES = 64 << 20
+PIECE = 4 << 20
 EXACT = 1 << 18
 MU = 50.0
 PROBES = 3
@@ -115,16 +118,67 @@ def _probe(filled: np.ndarray, h: np.ndarray, block: np.ndarray) -> np.ndarray:
     return level
 
 
-def _levels(batch: pa.RecordBatch, name: str, grams: np.ndarray, shard: tuple[np.ndarray, int, int]) -> np.ndarray:
+class _Piece:
+    """Blocks on their way to the executors: it pickles as their array, and is emptied once that is done."""
+
+    def __init__(self, bits: bytes):
+        self.bits = bits
+
+    def __reduce__(self):
+        return np.frombuffer, (self.bits, np.uint8)
+
+
+class _Shard:
+    """Blocks `begin` to `end` of the filter, broadcast in pieces in the order in which they arrive."""
+
+    def __init__(self, blocks: DataFrame, begin: int, end: int, n_blocks: int):
+        self.begin, self.n_blocks = begin, n_blocks
+        self.slot = np.full(end - begin, -1, np.int32)  # a block without n-grams doesn't arrive
+        self.width = max(1, PIECE // _BLOCK)
+        self.pieces = []
+        held, n = [], 0
+        for row in blocks.where((F.col("block") >= begin) & (F.col("block") < end)).toLocalIterator():
+            self.slot[row["block"] - begin] = n
+            held.append(row["bits"])
+            n += 1
+            if len(held) == self.width:
+                self._send(blocks, held)
+        if held:
+            self._send(blocks, held)
+
+    def _send(self, blocks: DataFrame, held: list[bytearray]) -> None:
+        piece = _Piece(b"".join(held))
+        held.clear()
+        self.pieces.append(blocks.sparkSession.sparkContext.broadcast(piece))
+        piece.bits = b""
+
+    def destroy(self) -> None:
+        for piece in self.pieces:
+            piece.destroy()
+
+    def levels(self, h: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """Levels of n-grams in blocks counted from the shard's first."""
+        at = self.slot[block].astype(np.int64)
+        piece = at // self.width
+        order = np.argsort(piece.astype(np.int16) if len(self.pieces) < 1 << 15 else piece, kind="stable")
+        bounds = np.searchsorted(piece[order], np.arange(len(self.pieces) + 1))
+        level = np.zeros(len(h), np.int8)
+        for i, part in enumerate(self.pieces):
+            own = order[bounds[i] : bounds[i + 1]]
+            if len(own):
+                level[own] = _probe(part.value, h[own], at[own] - i * self.width)
+        return level
+
+
+def _levels(batch: pa.RecordBatch, name: str, grams: np.ndarray, shard: _Shard) -> np.ndarray:
     """The n-grams' levels as carried in column `name`, with those of a shard's blocks looked up."""
-    filled, begin, n_blocks = shard
     level = np.frombuffer(b"".join(batch.column(name).to_pylist()), np.int8).copy() if name in batch.schema.names else np.zeros(len(grams), np.int8)
     inside = slice(None)
-    if len(filled) < n_blocks * _BLOCK:
-        block = (grams % np.uint64(n_blocks)).astype(np.int64) - begin
-        inside = np.flatnonzero((block >= 0) & (block < len(filled) // _BLOCK))
+    if len(shard.slot) < shard.n_blocks:
+        block = (grams % np.uint64(shard.n_blocks)).astype(np.int64) - shard.begin
+        inside = np.flatnonzero((block >= 0) & (block < len(shard.slot)))
     u, back = np.unique(grams[inside], return_inverse=True)
-    level[inside] = _probe(filled, u, (u % np.uint64(n_blocks)).astype(np.int64) - begin)[back]
+    level[inside] = shard.levels(u, (u % np.uint64(shard.n_blocks)).astype(np.int64) - shard.begin)[back]
     return level
 
 
@@ -132,7 +186,7 @@ def _carried(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatc
     """The rows with the levels of their tokens and pairs, as far as the shards seen go; one byte each."""
     for batch in ts.slices(batches, "text", 8 << 20):
         tokens, first = _tokens(batch.column("text"))
-        levels = [_levels(batch, name, grams, model.value) for name, grams in (("own", tokens), ("both", _pairs(tokens, first)))]
+        levels = [_levels(batch, name, grams, model) for name, grams in (("own", tokens), ("both", _pairs(tokens, first)))]
         offsets = pa.py_buffer(first.astype(np.int32))
         carried = [pa.BinaryArray.from_buffers(pa.binary(), batch.num_rows, [None, offsets, pa.py_buffer(x)]) for x in levels]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "text", "held_out")), *carried], names=["key", "text", "held_out", "own", "both"])
@@ -152,8 +206,8 @@ def _scored(batches: Iterator[pa.RecordBatch], model, exact) -> Iterator[pa.Reco
         rare, times = np.unique(owner[some] * len(u) + back[some], return_counts=True)
         begin = np.searchsorted(rare // len(u), np.arange(batch.num_rows + 1))
         lists = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.StructArray.from_arrays([pa.array(u[rare % len(u)].view(np.int64)), pa.array(times, pa.int64())], names=["h", "times"]))
-        own = _estimate(_levels(batch, "own", tokens, model.value))
-        both = _estimate(_levels(batch, "both", _pairs(tokens, first), model.value))
+        own = _estimate(_levels(batch, "own", tokens, model))
+        both = _estimate(_levels(batch, "both", _pairs(tokens, first), model))
         # A row's last token is the end, which also comes before its first.
         context = np.empty_like(own)
         context[1:] = own[:-1]
@@ -165,6 +219,18 @@ def _scored(batches: Iterator[pa.RecordBatch], model, exact) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("held_out"), *columns], names=["key", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
 
 
+def _frequent(single: DataFrame, most: int) -> pa.Table:
+    """The tokens above one count, as low as leaves `most` of them at most."""
+    step = F.floor(F.log2(F.col("n").cast("double")) * 32)
+    least, n = None, 0
+    for row in sorted(single.groupBy(step.alias("step")).count().collect(), reverse=True):
+        n += row["count"]
+        if n > most:
+            break
+        least = row["step"]
+    return single.where(step >= least if least is not None else F.lit(False)).toArrow()
+
+
 def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text", folds: int = 5, held: int = 1, exact_tokens: int = EXACT) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
@@ -184,17 +250,8 @@ def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     # h is a 64-bit pattern: its unsigned remainder names the block.
     signed = F.pmod(F.pmod("h", F.lit(n_blocks)) + F.when(F.col("h") < 0, F.lit((1 << 64) % n_blocks)).otherwise(F.lit(0)), F.lit(n_blocks))
     blocks = counts.select(signed.alias("block"), "h", "n").groupBy("block").applyInArrow(_fill, "block bigint, bits binary")
-    if n_blocks > shard_blocks:
-        blocks = scratch.cut(blocks, "blocks")
-
-    def shard(begin: int):
-        end = min(n_blocks, begin + shard_blocks)
-        filled = np.zeros((end - begin) * _BLOCK, np.uint8)
-        for row in blocks.where((F.col("block") >= begin) & (F.col("block") < end)).toLocalIterator():
-            at = (row["block"] - begin) * _BLOCK
-            filled[at : at + _BLOCK] = np.frombuffer(bytes(row["bits"]), np.uint8)
-        return spark.sparkContext.broadcast((filled, begin, n_blocks))
-
+    blocks = scratch.cut(blocks, "blocks")
+    shard = lambda begin: _Shard(blocks, begin, min(n_blocks, begin + shard_blocks), n_blocks)
     *others, last = range(0, n_blocks, shard_blocks)
     rows = source
     for begin in others:
@@ -203,11 +260,16 @@ def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         scratch.drop(before)
         model.destroy()
     model = shard(last)
-    top = single.orderBy(F.desc("n"), "h").limit(exact_tokens).toPandas()
-    order = np.argsort(top["h"].to_numpy(np.int64).view(np.uint64))
-    exact = spark.sparkContext.broadcast((top["h"].to_numpy(np.int64).view(np.uint64)[order], top["n"].to_numpy(np.float64)[order], float(total), float(distinct)))
+    top = _frequent(single, exact_tokens)
+    known = top.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(known)
+    exact = spark.sparkContext.broadcast((known[order], top.column("n").to_numpy()[order].astype(np.float64), float(total), float(distinct)))
     schema = f"key {dict(source.dtypes)['key']}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, rare array<struct<h:bigint,times:bigint>>"
     main = scratch.cut(rows.mapInArrow(partial(_scored, model=model, exact=exact), schema).withColumn("row", F.monotonically_increasing_id()), "scored")
+    for used in (model, exact):
+        used.destroy()
+    for used in (rows, blocks):
+        scratch.drop(used)
     rare = main.select("row", F.explode("rare").alias("x")).select("row", "x.h", "x.times")
     weight = lambda c: F.log10((c + 0.5) / F.lit(total + 0.5 * (distinct + 1)))
     joined = rare.join(single, "h", "left").groupBy("row").agg(F.sum(F.col("times") * weight(F.coalesce("n", F.lit(0)))).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("also"))

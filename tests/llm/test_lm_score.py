@@ -1,5 +1,7 @@
 import math
+import pickle
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -49,3 +51,39 @@ def test_filter_beyond_one_broadcast(spark, sf, monkeypatch):
     whole = score()
     monkeypatch.setattr(lm_score, "MAX_BYTES", 5 * lm_score._BLOCK)
     assert score() == whole
+
+
+def test_filter_in_pieces(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    score = lambda: sorted((r["doc_id"], r["score"]) for r in score_documents(docs).collect())
+    whole = score()
+    monkeypatch.setattr(lm_score, "PIECE", 2 * lm_score._BLOCK)
+    assert score() == whole
+    monkeypatch.setattr(lm_score, "MAX_BYTES", 5 * lm_score._BLOCK)
+    assert score() == whole
+
+
+def test_driver_holds_no_filter(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    monkeypatch.setattr(lm_score, "BITS", 2000)
+    monkeypatch.setattr(lm_score, "PIECE", 1 << 19, raising=False)
+    context, sent = type(spark.sparkContext), []
+    real = context.broadcast
+    monkeypatch.setattr(context, "broadcast", lambda self, value: sent.append(len(pickle.dumps(value))) or real(self, value))
+    tracemalloc.start()
+    try:
+        score_documents(docs)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(sent) > 20 << 20
+    assert most < 8 << 20
+
+
+def test_frequent_tokens(spark):
+    counts = [(i, n) for i, n in enumerate([1] * 50 + [2] * 20 + [3] * 5 + [10**6, 10**9])]
+    single = spark.createDataFrame(counts, "h bigint, n bigint")
+    for most, least in ((1, 10**9), (2, 10**6), (6, 10**6), (7, 3), (26, 3), (27, 2), (77, 1), (10**6, 1)):
+        assert sorted(x["h"] for x in lm_score._frequent(single, most).to_pylist()) == [h for h, n in counts if n >= least]
+    assert lm_score._frequent(single, 0).num_rows == 0
+    assert lm_score._frequent(single.limit(50), 49).num_rows == 0
